@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.op9 import op9_token_files
 from quillspark.llm.op10 import op10_bpe_round_trip
 
+QUERIES = [op9_token_files, op10_bpe_round_trip]
+SQL: dict[str, str] = {}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe_round_trip": op10_bpe_round_trip}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
