@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm import op3
+from quillspark.llm.op3 import op3_quality_rules
 from quillspark.llm.op9 import op9_token_files
 from quillspark.llm.op10 import op10_bpe_round_trip
 
-QUERIES = [op9_token_files, op10_bpe_round_trip]
-SQL: dict[str, str] = {}
+QUERIES = [op3_quality_rules, op9_token_files, op10_bpe_round_trip]
+SQL: dict[str, str] = {"op3_quality_rules": op3.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
