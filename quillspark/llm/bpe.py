@@ -7,8 +7,8 @@ root names the leftmost pair of the lowest rank.  A merge changes at most three
 leaves, each a logarithmic update, until no mergeable pair remains: a pre-token
 of n bytes costs O(n log n) whatever its length.
 
-Encoded pre-tokens are remembered in a bounded table per Python worker; when it
-is full it is emptied, which changes the time and never the result.
+Encoded pre-tokens and chunks between spaces are remembered in bounded tables per
+Python worker, which changes the time and never the result.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes
 to the empty text; rows are kept one to one, repeated ones too; an empty table
@@ -18,6 +18,7 @@ gives an empty result.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: From here on the Unicode versions of two libraries may differ; such texts are cut by the tokenizer's own pre-tokenizer.
 LATE = regex.compile(r"[^\u0000-ӿ]")
-REMEMBERED = 300_000
+#: Pre-tokens, and chunks of text between spaces, that a worker remembers per generation.
+PIECES, CHUNKS = 500_000, 300_000
 NO_PAIR = 1 << 62
 
 
@@ -99,16 +101,24 @@ def merge_all(symbols: list[int], pair_ranks: dict[int, int]) -> list[int]:
 
 
 class Remembered(dict):
-    """pre-token -> its ids as little-endian bytes."""
+    """key -> ids as little-endian bytes, for up to twice ``most`` keys.
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    When ``most`` keys are in, they become the old generation and replace the one
+    before; a key found there moves back, so frequent keys stay.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], most: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most, self.old = encode, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        got = self[piece] = self.encode(piece)
+        got = self.old.get(key)
+        if got is None:
+            got = self.encode(key)
+        self[key] = got
         return got
 
 
@@ -135,29 +145,37 @@ class ByteBpe:
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self.words = regex.compile(PATTERN)
         self.cut_late = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.pieces = Remembered(self.encode_piece)
+        self.pieces = Remembered(self.encode_piece, PIECES)
+        self.chunks = Remembered(self.encode_chunk, CHUNKS)
 
     def encode_piece(self, piece: str) -> bytes:
         first = self.first
-        return np.array(merge_all([first[b] for b in piece.encode()], self.pair_ranks), dtype="<u4").tobytes()
+        return array("I", merge_all([first[b] for b in piece.encode()], self.pair_ranks)).tobytes()
 
     def cut(self, text: str) -> list[str]:
         if LATE.search(text):
             return [text[a:b] for _, (a, b) in self.cut_late(text)]
         return self.words.findall(text)
 
+    def encode_plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.cut(text)))
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        return self.encode_plain(f" {chunk}")
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        find = self.pieces.__getitem__
-        if self.special is None or not any(s in text for s in self.added):
-            return b"".join(map(find, self.cut(text)))
-        parts = []
-        for part in self.special.split(text):
-            if part in self.added:
-                parts.append(self.added[part].to_bytes(4, "little"))
-            elif part:
-                parts.extend(map(find, self.cut(part)))
-        return b"".join(parts)
+        """Ids as little-endian unsigned 32-bit integers.
+
+        A single space between two other characters always begins a pre-token, so a text
+        without a run of spaces is the sequence of its chunks.
+        """
+        if self.special is not None and any(s in text for s in self.added):
+            parts = self.special.split(text)
+            return b"".join(self.added[p].to_bytes(4, "little") if p in self.added else self.encode_plain(p) for p in parts if p)
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return self.encode_plain(text)
+        first, *rest = text.split(" ")
+        return self.encode_plain(first) + b"".join(map(self.chunks.__getitem__, rest))
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, dtype="<u4").tolist()

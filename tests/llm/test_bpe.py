@@ -27,7 +27,7 @@ def test_cases_match_the_library(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=60))
+@given(st.one_of(st.text(max_size=60), st.text("ab \n\t's1.é\x85", max_size=40), st.text("a \n", max_size=30)))
 def test_any_text_matches_the_library(text):
     own = bpe.tokenizer(PATH)
     got = own.encode(text)
@@ -55,3 +55,11 @@ def test_digests_and_empty_table(spark):
     assert got[8].n_tokens == 0 and got[8].ids_sha256 == got[8].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[7].decoded_sha256 == hashlib.sha256(b"some text").hexdigest()
     assert round_trip(docs.limit(0)).count() == 0
+
+
+def test_generations_keep_results():
+    asked = []
+    table = bpe.Remembered(lambda k: asked.append(k) or k.encode(), 3)
+    for k in "abcabdeafaaghia":
+        assert table[k] == k.encode()
+    assert len(table) <= 3 and asked.count("a") == 1
