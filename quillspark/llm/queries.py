@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import op3
 from quillspark.llm.op3 import op3_quality_rules
+from quillspark.llm.op4 import op4_toxicity
 from quillspark.llm.op6 import op6_simhash
 from quillspark.llm.op9 import op9_token_files
 from quillspark.llm.op10 import op10_bpe_round_trip
 
-QUERIES = [op3_quality_rules, op6_simhash, op9_token_files, op10_bpe_round_trip]
+QUERIES = [op3_quality_rules, op4_toxicity, op6_simhash, op9_token_files, op10_bpe_round_trip]
 SQL: dict[str, str] = {"op3_quality_rules": op3.SQL}
 
 
