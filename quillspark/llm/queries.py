@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import op1, op3, op5
 from quillspark.llm.op1 import op1_license_scan
+from quillspark.llm.op2 import op2_source_mix
 from quillspark.llm.op3 import op3_quality_rules
 from quillspark.llm.op4 import op4_toxicity
 from quillspark.llm.op5 import op5_secret_scan
@@ -15,7 +16,7 @@ from quillspark.llm.op6 import op6_simhash
 from quillspark.llm.op9 import op9_token_files
 from quillspark.llm.op10 import op10_bpe_round_trip
 
-QUERIES = [op1_license_scan, op3_quality_rules, op4_toxicity, op5_secret_scan, op6_simhash, op9_token_files, op10_bpe_round_trip]
+QUERIES = [op1_license_scan, op2_source_mix, op3_quality_rules, op4_toxicity, op5_secret_scan, op6_simhash, op9_token_files, op10_bpe_round_trip]
 SQL: dict[str, str] = {"op1_license_scan": op1.SQL, "op3_quality_rules": op3.SQL, "op5_secret_scan": op5.SQL}
 
 
