@@ -14,10 +14,11 @@ from quillspark.llm.op4 import op4_toxicity
 from quillspark.llm.op5 import op5_secret_scan
 from quillspark.llm.op6 import op6_simhash
 from quillspark.llm.op7 import op7_imatch
+from quillspark.llm.op8 import op8_pii_pseudonyms
 from quillspark.llm.op9 import op9_token_files
 from quillspark.llm.op10 import op10_bpe_round_trip
 
-QUERIES = [op1_license_scan, op2_source_mix, op3_quality_rules, op4_toxicity, op5_secret_scan, op6_simhash, op7_imatch, op9_token_files, op10_bpe_round_trip]
+QUERIES = [op1_license_scan, op2_source_mix, op3_quality_rules, op4_toxicity, op5_secret_scan, op6_simhash, op7_imatch, op8_pii_pseudonyms, op9_token_files, op10_bpe_round_trip]
 SQL: dict[str, str] = {"op1_license_scan": op1.SQL, "op3_quality_rules": op3.SQL, "op5_secret_scan": op5.SQL}
 
 
