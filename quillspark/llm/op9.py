@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from quillspark.llm import token_files
-from quillspark.llm._shared import documents, table_path
+from quillspark.llm._shared import documents, fat_rows, table_path
 
 
 def with_crc(rows: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     spark = docs.sparkSession
+    fat_rows(spark)
     path = table_path(spark, "token_ids")
     token_files.write(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return with_crc(token_files.read(spark, path))

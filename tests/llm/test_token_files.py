@@ -2,7 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillspark.llm import token_files
@@ -52,6 +55,27 @@ def test_nulls_repeats_and_empty(spark):
     assert token_digests(docs.limit(0)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("aB's,.é1 \n<|É½ªİß", max_size=40)), max_size=5))
+def test_any_text_matches_the_library(texts):
+    ids, ends = token_files.word_cache(PATH).encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_slices_cover_the_batch():
+    batch = pa.RecordBatch.from_pydict({"i": list(range(6)), "t": ["aaa", None, "", "bbbbbbbbbb", "c", "d"]})
+    parts = [p.column(0).to_pylist() for p in token_files.slices(batch, 1, 3)]
+    assert parts == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_generations_keep_results(monkeypatch):
+    monkeypatch.setattr(token_files, "WORDS", 2)
+    cache = token_files.WordCache(PATH)
+    for text in ("one two three", "two four.", "five one two", "Two FOUR three,"):
+        ids, _ = cache.encode(pa.array([text, None]), b"\1\0\0\0")
+        assert ids.tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 1, 1]
+
+
 def token_files_rows(spark, docs):
     from quillspark.llm._shared import table_path
 
