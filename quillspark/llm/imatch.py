@@ -29,7 +29,7 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOW, HIGH, LEAST = 0.002, 0.05, 2
 #: The lexicon is a bitmap of so many bits, in which each of its terms sets PROBES.
 BITMAP_BITS, PROBES = 20, 2
-COPIES, LEVELS = 6, 10
+COPIES, LEVELS = 8, 8
 SEED = 11
 
 

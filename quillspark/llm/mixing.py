@@ -14,7 +14,8 @@ Rates are then rounded to copies: each document takes the whole part, and as man
 documents of the source as fill what is missing take one more, in the order of a hash of
 the document.  Where they end is found by sums over 4096 ranges of the hash; only the
 documents of the one range in which a source's target falls are ordered.  So no task sees a
-source whole, a source meets its target to within one document, and reruns agree.
+source whole, a source meets its target to within one document, copies are a function of
+the document and its source's cut, and reruns agree.
 
 Targets share the total of all sizes by weight; a target stops at ``MOST`` times its
 source's size and the excess is shared by weight until none is above.
@@ -33,7 +34,10 @@ from quillspark.llm._shared import WORD, written
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
-RANGES = 4096
+#: A document's place is a number of so many bits, its range the upper ones of these.
+PLACE_BITS, RANGE_BITS = 48, 12
+#: Tables of a row per source are broadcast up to so many rows.
+MOST_BROADCAST = 100_000
 TOLERANCE = 1e-12
 
 
@@ -84,47 +88,69 @@ def balance(constraints: DataFrame, most_steps: int = 60) -> DataFrame:
 
 
 def place(*cols: Column) -> Column:
-    """A document's place in its source's order, from 0 to 2^48 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(7), *cols), 16)
+    """A document's place in its source's order, a number of PLACE_BITS bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(7), *cols), 64 - PLACE_BITS)
 
 
-def copies(sized: DataFrame, rates: DataFrame) -> DataFrame:
-    """``sized`` (doc_id, source, size, place) with source_size, target and ``copies``."""
-    rate = rates.select(F.col("source").alias("r_source"), "source_size", "target", "rate")
-    rows = sized.join(F.broadcast(rate) if rates.count() <= 100_000 else rate, sized["source"].eqNullSafe(rate["r_source"])).drop("r_source")
+def small(table: DataFrame) -> DataFrame:
+    """``table``, of a row per source, for a broadcast if there are few enough sources."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
+def cuts(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """source, source_size, target, ``whole`` and ``cut``: each document is taken ``whole`` times, and once more where its place is at most ``cut``."""
     # the tolerance of the dual must not push a rate of a whole number below it
-    rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("bigint")).withColumn("range", F.shiftright("place", 48 - RANGES.bit_length() + 1))
-    sums = written(rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"), F.first("target").alias("target"), F.first("whole").alias("whole"), F.first("source_size").alias("source_size")), "ranges")
-    by_source = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    missing = F.col("target") - F.col("whole") * F.col("source_size")
-    ahead = sums.select(F.col("source").alias("a_source"), F.col("range").alias("a_range"), "in_range", F.coalesce(F.sum("in_range").over(by_source), F.lit(0)).alias("before"), missing.alias("missing"))
-    # the range in which a source's target falls
-    border = ahead.filter("before < missing and before + in_range > missing").select(F.col("a_source").alias("b_source"), F.col("a_range").alias("b_range"), "before", "missing")
-    border = F.broadcast(border) if rates.count() <= 100_000 else border
-    placed = rows.join(border, rows["source"].eqNullSafe(F.col("b_source")), "left").drop("b_source")
-    inside = placed.filter("range = b_range")
-    order = Window.partitionBy("source").orderBy("place", "size", F.col("doc_id").asc_nulls_last(), "__row")
-    ordered = inside.withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rates = rates.withColumn("whole", F.floor(F.col("rate") + 1e-9).cast("bigint"))
+    rates = written(rates.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("missing")), "rates")
+    rows = sized.withColumn("range", F.shiftright("place", PLACE_BITS - RANGE_BITS))
+    sums = written(rows.groupBy("source", "range").agg(F.sum("size").alias("in_range")), "ranges")
+    before = F.coalesce(F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sums.withColumn("before", before)
+    ahead = ahead.join(small(rates.select(F.col("source").alias("m_source"), "missing")), ahead["source"].eqNullSafe(F.col("m_source")))
+    end = F.shiftleft(F.col("range") + 1, PLACE_BITS - RANGE_BITS) - 1
+    full = ahead.groupBy("source").agg(F.max(F.when((F.col("missing") > 0) & (F.col("before") + F.col("in_range") <= F.col("missing")), end)).alias("full"))
+    # the range in which a source's target falls: its documents are ordered
+    border = ahead.filter("before < missing and before + in_range > missing").select(F.col("source").alias("b_source"), F.col("range").alias("b_range"), "before", "missing")
+    inside = rows.join(small(border), rows["source"].eqNullSafe(F.col("b_source")) & (rows["range"] == F.col("b_range")))
+    order = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
+    upto = inside.withColumn("upto", F.col("before") + F.sum("size").over(order))
     # the document that crosses the target is taken if that brings the sum closer
-    more = F.col("upto") - F.col("missing") <= F.col("missing") - (F.col("upto") - F.col("size"))
-    ends = ordered.select("__row", F.when(F.col("upto") <= F.col("missing"), 1).when((F.col("upto") - F.col("size") < F.col("missing")) & more, 1).otherwise(0).alias("one"))
-    outside = placed.filter("b_range is null or range <> b_range")
-    # without a border range the target is met exactly at a range's end: all ranges before it count
-    limit = ahead.filter("before + in_range <= missing").groupBy("a_source").agg(F.max("a_range").alias("last"))
-    limit = limit.select(F.col("a_source").alias("l_source"), "last")
-    limit = F.broadcast(limit) if rates.count() <= 100_000 else limit
-    outside = outside.join(limit, outside["source"].eqNullSafe(F.col("l_source")), "left").withColumn("one", F.when(F.col("range") <= F.col("last"), 1).otherwise(0))
-    cols = ["__row", "doc_id", "source", "size", "source_size", "target"]
-    inside = inside.join(ends, "__row")
-    both = outside.select(*cols, "whole", "one").union(inside.select(*cols, "whole", "one"))
-    return both.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("one")).otherwise(0)).drop("whole", "one")
+    closer = F.col("upto") - F.col("missing") <= F.col("missing") - (F.col("upto") - F.col("size"))
+    inner = upto.filter((F.col("upto") <= F.col("missing")) | ((F.col("upto") - F.col("size") < F.col("missing")) & closer)).groupBy("source").agg(F.max("place").alias("inner"))
+    out = rates
+    for part, name in ((full, "full"), (inner, "inner")):
+        part = part.select(F.col("source").alias(f"p_{name}"), name)
+        out = out.join(part, out["source"].eqNullSafe(F.col(f"p_{name}")), "left")
+    return out.select("source", "source_size", "target", "whole", F.coalesce("inner", "full", F.lit(-1).cast("bigint")).alias("cut"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of each document, with its row number ``__row``."""
+def taken(rows: DataFrame, cut: DataFrame, has_words: Column, at: Column, source_col: str = "source") -> DataFrame:
+    """``rows`` with source_size, target and ``copies``."""
+    cut = small(cut.select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut"))
+    joined = rows.join(cut, rows[source_col].eqNullSafe(F.col("__source")))
+    return joined.withColumn("copies", F.when(has_words, F.col("whole") + (at <= F.col("cut")).cast("bigint")).otherwise(F.lit(0).cast("bigint"))).drop("__source", "whole", "cut")
+
+
+def fitted(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, DataFrame]:
+    """The sizes (doc_id, source, size, place) and the cuts of their sources."""
     text = F.col(text_col)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), place(F.col(id_col), text).alias("place"))
-    sized = written(sized.withColumn("__row", F.monotonically_increasing_id()), "sizes")
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), place(F.col(id_col), text).alias("place")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = written(balance(written(targets(sources, weights, most), "targets")), "rates")
-    return copies(sized, rates)
+    return sized, written(cuts(sized, balance(written(targets(sources, weights, most), "targets"))), "cuts")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of each document."""
+    sized, cut = fitted(docs, id_col, text_col, source_col, weights, most)
+    return taken(sized, cut, F.col("size") > 0, F.col("place")).drop("place")
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it; texts move to no other task."""
+    _, cut = fitted(docs, id_col, text_col, source_col, weights, most)
+    names = docs.columns
+    numbered = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+    of = dict(zip(names, numbered.columns, strict=True))
+    rows = taken(numbered, cut, F.coalesce(F.col(of[text_col]).rlike(WORD), F.lit(False)), place(F.col(of[id_col]), F.col(of[text_col])), of[source_col])
+    many = rows.filter("copies > 0").select(*of.values(), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("__copy"))
+    return many.select(*[F.col(c).alias(n) for n, c in of.items()])

@@ -22,8 +22,14 @@ QUERIES = [op1_license_scan, op2_source_mix, op3_quality_rules, op4_toxicity, op
 SQL: dict[str, str] = {"op1_license_scan": op1.SQL, "op3_quality_rules": op3.SQL, "op5_secret_scan": op5.SQL}
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in (*QUERIES, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,8 +11,8 @@ fingerprints, so that keys stay longer than its logarithm and buckets stay small
 Within a sorted run of keys the fingerprints of 64 neighbours form a word per bit plane.
 A fingerprint is compared with all lanes of a word at once: plane by plane the differing
 lanes are added into carry-save bitwise counters, and a word is abandoned as soon as all
-its lanes exceed the radius.  A bucket of any size is compared in full, in pieces of a set
-number of words.
+its lanes exceed the radius.  A bucket of any size is searched in full, in pieces of a set
+number of words; in long ones what is reached is compared with what is not yet.
 
 Equal fingerprints are one node, so copies cost nothing here; the component of a node is
 found by star steps over the linked nodes only, and documents join their node's component.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,16 +42,19 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 LANES = 64
+#: Longer runs are searched breadth first.
+LONG_RUN = 256
+EDGES = "a bigint, b bigint"
 #: Comparisons of a fingerprint with a word of lanes that are held at once.
 AT_ONCE = 1 << 18
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text, unsigned."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
@@ -59,14 +62,37 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         starts = [0, *ends]
         grams = [joined[starts[i] : ends[i + shingle - 1] - 1] for i in range(len(words) - shingle + 1)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype=">u8")
+    return np.array([digest(g, SEED) for g in grams], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
+        part = hashes[at : at + (1 << 16)].astype(">u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text, unsigned."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Another hash from each hash (the finalizer of a known 64-bit generator)."""
+    z = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+    """A fingerprint of ``words`` times 64 bits, from as many hashes of each shingle."""
+    hashes = shingle_hashes(text, shingle)
+    return b"".join(majority(remixed(hashes, k)).to_bytes(8, "little") for k in range(words))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and ``fp``, the fingerprint as a signed 64-bit integer."""
     source = docs.select(*keep, F.col(text_col).alias("__text"))
@@ -98,26 +124,26 @@ def keys_for(n: int, radius: int = RADIUS) -> list[int]:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """planes[b][w]: bit b of the fingerprints 64 w to 64 w + 63, one per lane."""
-    words = -(-len(fps) // LANES)
-    padded = np.zeros(words * LANES, np.uint64)
+    """planes[b][w]: bit b of the fingerprints 64 w to 64 w + 63, one per lane; a fingerprint is a row of words."""
+    lanes = -(-len(fps) // LANES)
+    padded = np.zeros((lanes * LANES, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     packed = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
-    return packed.view(np.uint64).reshape(64, words)
+    return packed.view(np.uint64).reshape(64 * fps.shape[1], lanes)
 
 
 def close_lanes(planes: np.ndarray, query: np.ndarray, word: np.ndarray, wanted: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each comparison of a fingerprint with a word's ``wanted`` lanes: the lanes within the radius.
 
-    Counters of three bit slices hold up to seven differences per lane; ``beyond`` gathers
-    the lanes that exceed the radius.  Returns the comparisons left and their lanes.
+    Counters of as many bit slices as the radius has hold the differences per lane;
+    ``beyond`` gathers the lanes that exceed it.  Returns the comparisons left and their lanes.
     """
     slices = max(1, radius.bit_length())
     counters = [np.zeros(len(query), np.uint64) for _ in range(slices)]
     beyond, left = ~wanted, np.arange(len(query))
-    for b in range(64):
-        flip = (np.uint64(0) - (query >> np.uint64(b) & np.uint64(1))).astype(np.uint64)
+    for b in range(len(planes)):
+        flip = (np.uint64(0) - (query[:, b // 64] >> np.uint64(b % 64) & np.uint64(1))).astype(np.uint64)
         carry = planes[b][word] ^ flip
         for k in range(slices):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
@@ -148,6 +174,7 @@ def links_of_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tu
     """Close pairs of distinct fingerprints among those with equal keys; ``keys`` is sorted."""
     if len(fps) < 2:
         return
+    fps = fps.reshape(len(fps), -1)
     planes = bit_planes(fps)
     new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.repeat(np.append(new[1:], len(fps)), np.diff(np.append(new, len(fps))))
@@ -184,33 +211,69 @@ def below(n: np.ndarray) -> np.ndarray:
     return np.where(full, ~np.uint64(0), (np.uint64(1) << np.where(full, np.uint64(0), n)) - np.uint64(1))
 
 
-class Forest:
-    """Keeps of the links of one task only those that join two parts: same components, fewer rows."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = up.get(y, y)
-            x = up[x]
-        return x
+def trees_of_run(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what all close pairs of one run connect, without listing these.
 
-    def join(self, x: int, y: int) -> bool:
-        a, b = self.find(x), self.find(y)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+    Breadth first: what is reached is compared with what is not yet, which a large group of
+    near copies soon leaves small, so the work does not grow with the square of the group.
+    """
+    fps = fps.reshape(len(fps), -1)
+    rest = np.arange(len(fps))
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            planes, lanes = bit_planes(fps[rest]), -(-len(rest) // LANES)
+            last = below(np.array([len(rest) - (lanes - 1) * LANES], np.uint64))[0]
+            parent = np.full(len(rest), -1)
+            step = max(1, AT_ONCE // lanes)
+            for at in range(0, len(front), step):
+                some = front[at : at + step]
+                query, word = np.repeat(some, lanes), np.tile(np.arange(lanes), len(some))
+                wanted = np.where(word == lanes - 1, last, ~np.uint64(0))
+                left, close = close_lanes(planes, fps[query], word, wanted, radius)
+                bits = np.unpackbits(np.ascontiguousarray(close).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                which, lane = np.nonzero(bits)
+                parent[word[left[which]] * LANES + lane] = query[left[which]]
+            found = parent >= 0
+            yield parent[found], rest[found]
+            front, rest = rest[found], rest[~found]
+
+
+def trees(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows to link so that within each run of equal keys the same rows are connected as by all close pairs."""
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(new, len(keys)))
+    for start, size in zip(new[sizes > LONG_RUN].tolist(), sizes[sizes > LONG_RUN].tolist(), strict=True):
+        for x, y in trees_of_run(fps[start : start + size], radius):
+            yield start + x, start + y
+    short = np.flatnonzero(np.repeat(sizes <= LONG_RUN, sizes))
+    for x, y in links_of_runs(keys[short], fps[short], radius):
+        yield short[x], short[y]
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """Sorted batches, whose first column is the key, in pieces that cut no run: the keys and the columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < least:
+                continue
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(0).to_numpy()
+        done = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
+        if done:
+            yield keys[:done], [c.chunk(0) for c in table.slice(0, done).combine_chunks().columns]
+        held = table.slice(done).to_batches()
+        least = max(least, 2 * sum(b.num_rows for b in held))
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between the distinct values of column ``fp``, with the same components as all pairs within the radius.
-
-    Every pair is compared; of the close ones a task keeps those that join two parts of
-    what it has seen of one bucket.
-    """
+    """Links (a, b) between the distinct values of column ``fp``, with the same components as all pairs within the radius."""
     spark = nodes.sparkSession
     masks = [m - (1 << 64) if m >> 63 else m for m in keys_for(nodes.count(), radius)]
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("key_no", "mask"))
@@ -218,27 +281,19 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     # a distinct sort column for the runs; only buckets of two or more can hold a link
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    runs = runs.select("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                keys, fps = np.append(keys, batch.column(1).to_numpy()), np.append(fps, batch.column(0).to_numpy())
-                done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on
-                if len(keys) < 1 << 16 and done < len(keys):
-                    continue
-            else:
-                done = len(keys)
-            forest, found = Forest(), []
-            for x, y in links_of_runs(keys[:done], fps[:done].astype(np.uint64), radius):
-                found += [(a, b) for a, b in zip(fps[x].tolist(), fps[y].tolist(), strict=True) if forest.join(a, b)]
-            keys, fps = keys[done:], fps[done:]
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return runs.mapInArrow(run, schema).distinct()
+        for keys, (_, prints) in runs_of(batches):
+            fps = prints.to_numpy()
+            yield from edges(fps, trees(keys, fps.astype(np.uint64), radius))
+
+    return runs.mapInArrow(run, EDGES).distinct()
+
+
+def edges(nodes: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for x, y in found:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -251,3 +306,101 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = named.join(names, "root").select(F.col("fp").alias("n_fp"), "component_id")
     return prints.join(by_fp, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id")
+
+
+#: Of ``representatives``: words per shingle, 64-bit words per fingerprint, least similarity
+#: (shared among all shingles of two texts), and the share of pairs of just that similarity to be found.
+WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, RECALL = 5, 4, 0.8, 0.95
+
+
+def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
+    """Differing bits expected of two texts of equal length and this similarity."""
+    angle = math.acos(2 * similarity / (1 + similarity))
+    return round(64 * words * angle / math.pi)
+
+
+def wide_keys(n: int, similarity: float = SIMILARITY, words: int = WIDE_WORDS, recall: float = RECALL) -> np.ndarray:
+    """Bits of each key: enough per key for ``n`` fingerprints, and enough keys for the recall."""
+    bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
+    equal = (1 - wide_radius(similarity, words) / (64 * words)) ** bits
+    keys = math.ceil(math.log(1 - recall) / math.log(1 - equal))
+    rng = np.random.default_rng(SEED)
+    return np.stack([np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(keys)])
+
+
+def wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key (of the row) and fp of each document."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    source = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).alias("__text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("fp", T.BinaryType())])
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                fps = [wide_fingerprint(t, WIDE_SHINGLE, WIDE_WORDS) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps, pa.binary())], names)
+
+    return source.mapInArrow(run, schema)
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between ``nodes`` (node, fp) whose fingerprints are within the radius of SIMILARITY."""
+    spark = nodes.sparkSession
+    chosen, radius, parts = wide_keys(nodes.count()), wide_radius(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                made = []
+                for k, places in enumerate(chosen):
+                    packed = np.packbits(bits[:, places], axis=1, bitorder="little")
+                    wide = np.zeros((part.num_rows, -(-packed.shape[1] // 8) * 8), np.uint8)
+                    wide[:, : packed.shape[1]] = packed
+                    key = np.full(part.num_rows, k, np.uint64)
+                    for w in range(0, wide.shape[1], 8):
+                        key = remixed(key ^ np.ascontiguousarray(wide[:, w : w + 8]).view(np.uint64)[:, 0], k)
+                    made.append(key.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.tile(part.column(0).to_numpy(), len(chosen)))], ["key", "node"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (_, node) in runs_of(batches):
+            same = key[1:] == key[:-1]
+            kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), node.filter(pa.array(kept))], ["key", "node"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, (_, node, fp) in runs_of(batches):
+            fps = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(key), -1)
+            yield from edges(node.to_numpy(), trees(key, fps, radius))
+
+    keyed = nodes.mapInArrow(keys, "key bigint, node bigint")
+    buckets = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(met, "key bigint, node bigint")
+    full = buckets.join(nodes, "node").select("key", "node", "fp")
+    return full.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(linked, EDGES).distinct()
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near duplicates the row of the smallest id, with all its columns.
+
+    Groups are the components of links between fingerprints of WIDE_WORDS words over
+    WIDE_SHINGLE-word shingles whose differing bits speak for SIMILARITY or more.  Pairs are
+    found under keys of chosen bits, RECALL of those just at that similarity and nearly all
+    of the closer ones; equal texts always.  Null and empty texts are equal texts.
+    """
+    prints = written(wide_prints(docs, id_col, text_col), "wide_prints")
+    nodes = written(prints.groupBy("fp").count().select(F.xxhash64("fp").alias("node"), "fp"), "wide_nodes")
+    roots = written(components(wide_links(nodes), "wide"), "wide_roots")
+    named = prints.select("doc_id", "row", F.xxhash64("fp").alias("node")).join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
+    first = named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.row").alias("__kept_row"))
+    names = docs.columns
+    numbered = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.xxhash64(F.col(id_col), F.col(text_col)).alias("__row"))
+    joined = numbered.join(kept, F.col("__row") == F.col("__kept_row"))
+    # rows of one id and text are one document
+    one = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__kept_row").orderBy(F.lit(0)))).filter("__n = 1")
+    return one.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])

@@ -57,3 +57,15 @@ def test_dual_is_solved_and_small_tables(spark):
     docs = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.copies) for r in mixing.mix(docs).collect()] == [(3, 3.0, 1)]
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_follow_the_mix(spark):
+    rows = [(k, "w " * (k % 7), f"s{k % 4}" if k % 5 else None, k) for k in range(300)] + [(0, "x", "s0", 1), (301, None, "s1", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, cut int")
+    want = {(r.doc_id, r.size): r.copies for r in mixing.mix(docs).collect() if r.copies}
+    got = mixing.repeated(docs)
+    assert got.schema == docs.schema
+    counted = defaultdict(int)
+    for r in got.collect():
+        counted[(r.doc_id, len((r.text or "").split()))] += 1
+    assert counted == want

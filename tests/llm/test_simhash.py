@@ -50,6 +50,74 @@ def test_bit_sliced_pairs_equal_popcount(rows, radius, rnd):
     assert got == want
 
 
+def joined(n, pairs):
+    up = list(range(n))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(int(a)), find(int(b))
+        up[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 3), st.integers(0, 12))
+def test_trees_connect_like_all_pairs(seed, words, radius):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, (4, words), dtype=np.uint64)
+    fps = base[rng.integers(0, 4, 300)].copy()
+    for row in fps:
+        for b in rng.integers(0, 64 * words, rng.integers(0, 8)):
+            row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    keys = np.sort(rng.integers(0, 3, 300))
+    near = [(i, j) for i in range(300) for j in range(i) if keys[i] == keys[j] and np.bitwise_count(fps[i] ^ fps[j]).sum() <= radius]
+    for long_run in (5, 1000):
+        old, simhash.LONG_RUN = simhash.LONG_RUN, long_run
+        got = [(a, b) for x, y in simhash.trees(keys, fps, radius) for a, b in zip(x, y, strict=True)]
+        simhash.LONG_RUN = old
+        assert joined(300, got) == joined(300, near)
+
+
+def test_representatives(spark):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(2000)]
+    rows, groups = [], []
+    for g in range(60):
+        text = rnd.choices(words, k=300)
+        members = []
+        for c in range(rnd.choice([1, 1, 2, 5])):
+            t = list(text)
+            for _ in range(0 if c == 0 else rnd.randrange(5)):
+                t[rnd.randrange(300)] = "new"
+            members.append((1000 - len(rows), " ".join(t), "x", None))
+            rows.append(members[-1])
+        groups.append(members)
+    half = rnd.choices(words, k=300)
+    apart = [(2000, " ".join(half + rnd.choices(words, k=300)), "x", 1), (2001, " ".join(half + rnd.choices(words, k=300)), "x", 2)]
+    odd = [(3000, None, "x", 1), (3001, "", "x", 2), (3002, "", "x", 3), (3003, "one two", "x", 4), (3004, "ONE two", "x", 5), (rows[0][0], rows[0][1], "x", None)]
+    docs = spark.createDataFrame(rows + apart + odd, "doc_id long, text string, fp string, node int")
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(got) == sorted([min(m[0] for m in g) for g in groups] + [2000, 2001, 3000, 3003])
+    assert simhash.representatives(docs.limit(0)).count() == 0
+
+
+def test_wide_keys_find_the_share_they_promise():
+    rng = np.random.default_rng(0)
+    chosen, radius = simhash.wide_keys(10**5), simhash.wide_radius()
+    hits = 0
+    for _ in range(400):
+        differ = np.zeros(256, bool)
+        differ[rng.choice(256, radius, replace=False)] = True
+        hits += any(not differ[c].any() for c in chosen)
+    assert hits / 400 > 0.9
+
+
 def test_large_bucket_in_pieces(monkeypatch):
     monkeypatch.setattr(simhash, "AT_ONCE", 3)
     rng = np.random.default_rng(1)
