@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -38,10 +39,20 @@ def osa(left: str, right: str, most: int | None = None) -> int:
     return rows[-1][-1] if most is None else min(rows[-1][-1], most + 1)
 
 
-@pandas_udf("int")
-def osa_distance(left, right):
-    """OSA distance of two string columns, for pairs that the built-in prefilter leaves."""
-    return left.combine(right, lambda a, b: None if a is None or b is None else osa(a, b)).astype("Int32")
+def paired(rule, kind: str):
+    """A function of two columns that runs a Python rule over Arrow batches; null where either is null."""
+
+    def column(left, right) -> Column:
+        def run(a, b):
+            return pd.Series([None if x is None or y is None else rule(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+        return pandas_udf(run, kind)(left, right)
+
+    return column
+
+
+#: OSA distance of two string columns, for pairs that the built-in prefilter leaves.
+osa_distance = paired(osa, "int")
 
 
 def edit_slots(source: list[str], target: list[str]) -> list[tuple[str, int, str]]:
@@ -66,16 +77,17 @@ def edit_slots(source: list[str], target: list[str]) -> list[tuple[str, int, str
     return out[::-1]
 
 
-@pandas_udf("array<struct<kind:string,place:int,token:string>>")
-def token_edit_slots(source, target):
-    """Edit slots of two array<string> columns."""
-    return source.combine(target, lambda a, b: [dict(zip(("kind", "place", "token"), s, strict=True)) for s in edit_slots(list(a), list(b))])
+def slot_rows(source, target) -> list[dict]:
+    return [dict(zip(("kind", "place", "token"), s, strict=True)) for s in edit_slots(list(source), list(target))]
+
+
+def n_slots(source, target) -> int:
+    return len(edit_slots(list(source), list(target)))
 
 
-@pandas_udf("int")
-def token_distance(source, target):
-    """Levenshtein distance over tokens."""
-    return source.combine(target, lambda a, b: len(edit_slots(list(a), list(b)))).astype("Int32")
+#: Edit slots, and Levenshtein distance, of two array<string> columns.
+token_edit_slots = paired(slot_rows, "array<struct<kind:string,place:int,token:string>>")
+token_distance = paired(n_slots, "int")
 
 
 def limit_for(length: Column) -> Column:

@@ -311,6 +311,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Of ``representatives``: words per shingle, 64-bit words per fingerprint, least similarity
 #: (shared among all shingles of two texts), and the share of pairs of just that similarity to be found.
 WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, RECALL = 5, 4, 0.8, 0.95
+FIRST_KEYS = 8
 
 
 def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
@@ -345,10 +346,10 @@ def wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between ``nodes`` (node, fp) whose fingerprints are within the radius of SIMILARITY."""
+def wide_links(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """Links (a, b) between the labels of ``nodes`` (node, fp, label) that meet under a key and are within the radius of SIMILARITY."""
     spark = nodes.sparkSession
-    chosen, radius, parts = wide_keys(nodes.count()), wide_radius(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    radius, parts = wide_radius(), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,13 +375,15 @@ def wide_links(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[kept]), node.filter(pa.array(kept))], ["key", "node"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (_, node, fp) in runs_of(batches):
-            fps = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(key), -1)
-            yield from edges(node.to_numpy(), trees(key, fps, radius))
+        for key, (_, label, fp) in runs_of(batches):
+            fps, labels = np.frombuffer(b"".join(fp.to_pylist()), np.uint64).reshape(len(key), -1), label.to_numpy()
+            for x, y in trees(key, fps, radius):
+                apart = labels[x] != labels[y]
+                yield from edges(labels, [(x[apart], y[apart])])
 
-    keyed = nodes.mapInArrow(keys, "key bigint, node bigint")
+    keyed = nodes.select("node", "fp").mapInArrow(keys, "key bigint, node bigint")
     buckets = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(met, "key bigint, node bigint")
-    full = buckets.join(nodes, "node").select("key", "node", "fp")
+    full = buckets.join(nodes, "node").select("key", "label", "fp")
     return full.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(linked, EDGES).distinct()
 
 
@@ -394,9 +397,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(wide_prints(docs, id_col, text_col), "wide_prints")
     nodes = written(prints.groupBy("fp").count().select(F.xxhash64("fp").alias("node"), "fp"), "wide_nodes")
-    roots = written(components(wide_links(nodes), "wide"), "wide_roots")
-    named = prints.select("doc_id", "row", F.xxhash64("fp").alias("node")).join(roots.withColumnRenamed("node", "r_node"), F.col("node") == F.col("r_node"), "left")
-    first = named.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
+    # a few keys connect most of a large group, whose links under the others then need not be listed
+    chosen, labels = wide_keys(nodes.count()), nodes.withColumn("label", F.col("node"))
+    for k, some in enumerate((chosen[:FIRST_KEYS], chosen[FIRST_KEYS:])):
+        roots = components(wide_links(labels, some), f"wide-{k}")
+        moved = labels.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("label") == F.col("r_node"), "left")
+        labels = written(moved.select("node", "fp", F.coalesce("root", "label").alias("label")), f"wide_labels-{k}")
+    named = prints.select("doc_id", "row", F.xxhash64("fp").alias("p_node")).join(labels, F.col("p_node") == F.col("node"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     kept = first.select(F.col("first.row").alias("__kept_row"))
     names = docs.columns
     numbered = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], F.xxhash64(F.col(id_col), F.col(text_col)).alias("__row"))
