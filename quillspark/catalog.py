@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import corpus
+from quillspark.plans import corpus, evaluation, pipelines, prepare, quality, ranking
 
 FLAGSHIP = "error_triples"
-MODULES = (corpus,)
+MODULES = (corpus, prepare, quality, ranking, evaluation, pipelines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
