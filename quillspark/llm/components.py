@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillspark.llm._shared import drop_written, written
 
 
+#: A round's table has a file for so many edges of the round before.
+EDGES_PER_FILE = 250_000
+
+
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 200) -> DataFrame:
     """``node`` and ``root`` (the smallest node that it reaches) for every node of ``edges`` (a, b).
 
@@ -21,7 +25,8 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 2
     state = written(_oriented(edges.select("a", "b")), f"{label}-0")
     mark = _mark(state)
     for k in range(most_rounds):
-        new = written(_small_star(_large_star(state)), f"{label}-{k + 1}")
+        # no more files than the edges fill: a round of few edges should not write hundreds
+        new = written(_small_star(_large_star(state)).coalesce(mark[0] // EDGES_PER_FILE + 1), f"{label}-{k + 1}")
         new_mark = _mark(new)
         drop_written(state)
         state = new

@@ -83,7 +83,7 @@ def balance(constraints: DataFrame, most_steps: int = 60) -> DataFrame:
         if gap is None or gap < TOLERANCE:
             break
         step = (F.col("target") - mass) / mass
-        state = written(state.withColumn("multiplier", F.when(open_, F.col("multiplier") + F.least(step, F.lit(1.0)).cast("double")).otherwise(F.lit(0.0))), "multipliers")
+        state = written(state.coalesce(1).withColumn("multiplier", F.when(open_, F.col("multiplier") + F.least(step, F.lit(1.0)).cast("double")).otherwise(F.lit(0.0))), "multipliers")
     return state.withColumn("rate", F.when(open_, F.exp("multiplier")).otherwise(F.lit(0.0)))
 
 
@@ -136,7 +136,8 @@ def fitted(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     text = F.col(text_col)
     sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(text).alias("size"), place(F.col(id_col), text).alias("place")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return sized, written(cuts(sized, balance(written(targets(sources, weights, most), "targets"))), "cuts")
+    # these have a row per source
+    return sized, written(cuts(sized, balance(written(targets(sources, weights, most), "targets"))).coalesce(1), "cuts")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
