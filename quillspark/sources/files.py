@@ -109,5 +109,5 @@ def click_pairs(rows: DataFrame, least: float) -> DataFrame:
 def entity_values(tags: DataFrame, keys: list[str]) -> DataFrame:
     """entity_id and names: values of the tags in the given order of keys, split at semicolons, different ones only."""
     value = lambda k: F.split(F.coalesce(F.element_at("tags", F.lit(k)), F.lit("")), ";")
-    names = F.array_distinct(F.filter(F.transform(F.flatten(F.array(*map(value, keys))), F.trim), lambda v: v != ""))
+    names = F.array_distinct(F.filter(F.transform(F.flatten(F.array(*map(value, keys))), lambda v: F.trim(v)), lambda v: v != ""))
     return tags.select("entity_id", names.alias("names")).filter(F.size("names") > 0)
