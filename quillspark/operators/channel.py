@@ -43,14 +43,19 @@ def best_parts(intended: str, observed: str, score: Callable[[str, str], float],
     return -cost, list(path)
 
 
-def part_counts(triples: DataFrame) -> DataFrame:
-    """source, target and count over all triples (intended, observed, count), with a prior for parts that stay as they are."""
+def aligned_parts(triples: DataFrame, score: Callable[[str, str], float]) -> DataFrame:
+    """source, target and n: the parts of the best cut of every triple, each as often as the triple."""
 
     def cut(intended: pd.Series, observed: pd.Series) -> pd.Series:
-        return pd.Series([[{"source": s, "target": t} for s, t in best_parts(a, b, first_guess)[1]] for a, b in zip(intended, observed, strict=True)], dtype=object)
+        return pd.Series([[{"source": s, "target": t} for s, t in best_parts(a, b, score)[1]] for a, b in zip(intended, observed, strict=True)], dtype=object)
 
     parts = pandas_udf(cut, "array<struct<source:string,target:string>>")
-    aligned = triples.filter("count > 0").select(F.explode(parts("intended", "observed")).alias("p"), F.col("count").cast("double").alias("n")).select("p.*", "n")
+    return triples.filter("count > 0").select(F.explode(parts("intended", "observed")).alias("p"), F.col("count").cast("double").alias("n")).select("p.*", "n")
+
+
+def part_counts(triples: DataFrame) -> DataFrame:
+    """source, target and count over all triples (intended, observed, count), with a prior for parts that stay as they are."""
+    aligned = aligned_parts(triples, first_guess)
     word = F.col("intended")
 
     def same(size: int) -> DataFrame:
@@ -92,14 +97,25 @@ class Channel:
         return best[-1][-1]
 
 
-def fitted(triples: DataFrame) -> Channel:
-    """The channel learnt from triples; its table is of pairs of parts of up to two characters and checked in size."""
-    rows = part_counts(triples).limit(MOST_PARTS + 1).collect()
+def collected(counts: DataFrame) -> Channel:
+    rows = counts.limit(MOST_PARTS + 1).collect()
     if len(rows) > MOST_PARTS:
         raise ValueError(f"more than {MOST_PARTS} pairs of parts: use fewer characters")
     return Channel({(r.source, r.target): r["count"] for r in rows})
 
 
+def fitted(triples: DataFrame, rounds: int = 1) -> Channel:
+    """The channel learnt from triples; its table is of pairs of parts of up to two characters and checked in size.
+
+    Every further round cuts the triples anew by what is learnt and replaces the counts,
+    the prior included.
+    """
+    learnt = collected(part_counts(triples))
+    for _ in range(rounds - 1):
+        learnt = collected(aligned_parts(triples, learnt.part).groupBy("source", "target").agg(F.sum("n").alias("count")))
+    return learnt
+
+
 def channel_score(channel: Channel, intended: Column, observed: Column) -> Column:
     """The channel over Arrow batches; ask it for distinct pairs."""
 

@@ -92,3 +92,9 @@ def deletions(term: Column, distance: int) -> Column:
 def delete_index(vocab: DataFrame, distance: int) -> DataFrame:
     """delete_key, term, count."""
     return vocab.select(F.explode(deletions(F.col("term"), distance)).alias("delete_key"), "term", "count")
+
+
+def substitution_keys(term: Column) -> Column:
+    """The term with each character in turn replaced by a zero character: terms one substitution apart share a key."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(term), F.lit(1)))
+    return F.when(F.length(term) > 0, F.transform(at, lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.lit("\0"), F.substring(term, i + 1, F.length(term))))).otherwise(F.array().cast("array<string>"))

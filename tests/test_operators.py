@@ -181,3 +181,22 @@ def test_bundle_and_files(spark, tmp_path):
     assert [tuple(r) for r in files.entity_values(tags, ["name", "alt"]).collect()] == [("n1", ["A", "B", "C"])]
     with pytest.raises(ValueError):
         files.require_filled(vocab.withColumn("term", F.lit(" ")), ["term"])
+
+
+def test_channel_rounds_drop_the_prior(spark):
+    triples = spark.createDataFrame([("the", "teh", 80), ("then", "tehn", 5), ("a", "a", 0)], "intended string, observed string, count long")
+    again = channel.fitted(triples, rounds=2)
+    assert again.counts[("he", "eh")] == 85 and sum(again.totals.values()) < sum(channel.fitted(triples).totals.values())
+    assert again.word("the", "teh") > again.word("the", "thx")
+
+
+def test_substitution_keys(spark):
+    row = spark.range(1).select(corpus.substitution_keys(F.lit("abc")).alias("a"), corpus.substitution_keys(F.lit("axc")).alias("b"), corpus.substitution_keys(F.lit("")).alias("c")).first()
+    assert set(row.a) & set(row.b) == {"a\0c"} and row.c == []
+
+
+def test_leaks_are_replaced_by_unused_rows(spark):
+    rows = spark.createDataFrame([(k, "leak" if k < 3 else "fine") for k in range(10)], "id long, t string")
+    spare = spark.createDataFrame([(k, "leak" if k == 20 else "fine") for k in range(5, 30)], "id long, t string")
+    got = prepare.leaks_replaced(rows, F.col("t") == "leak", spare, "id", F.col("id"))
+    assert sorted(r.id for r in got.collect()) == [3, 4, 5, 6, 7, 8, 9, 10, 11, 12]
