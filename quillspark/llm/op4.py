@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import toxicity
-from quillspark.llm._shared import documents
+from quillspark.llm._shared import documents, fat_rows
 
 THRESHOLD = 0.7
 
@@ -17,6 +17,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def classifier(spark: SparkSession, sf_dir: str, held: bool = True) -> toxicity.Classifier:
     """Fitted to the labelled documents of ``sf_dir``, without those held out."""
+    fat_rows(spark)
     rows = toxicity.labelled(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     return toxicity.fit(rows.filter(~held_out()) if held else rows)
 

@@ -311,7 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Of ``representatives``: words per shingle, 64-bit words per fingerprint, least similarity
 #: (shared among all shingles of two texts), and the share of pairs of just that similarity to be found.
 WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, RECALL = 5, 4, 0.8, 0.95
-FIRST_KEYS = 8
+#: Keys are taken in rounds that end at these numbers, and a last one of the rest.
+KEY_ROUNDS = (2, 8)
 
 
 def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
@@ -384,7 +385,8 @@ def wide_links(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
     keyed = nodes.select("node", "fp").mapInArrow(keys, "key bigint, node bigint")
     buckets = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(met, "key bigint, node bigint")
     full = buckets.join(nodes, "node").select("key", "label", "fp")
-    return full.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(linked, EDGES).distinct()
+    # the smallest label of a bucket comes first: trees under different keys share their links to it
+    return full.repartition(parts, "key").sortWithinPartitions("key", "label").mapInArrow(linked, EDGES).distinct()
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,9 +399,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = written(wide_prints(docs, id_col, text_col), "wide_prints")
     nodes = written(prints.groupBy("fp").count().select(F.xxhash64("fp").alias("node"), "fp"), "wide_nodes")
-    # a few keys connect most of a large group, whose links under the others then need not be listed
+    # a few keys connect most of a large group, whose links under the others are then none between labels
     chosen, labels = wide_keys(nodes.count()), nodes.withColumn("label", F.col("node"))
-    for k, some in enumerate((chosen[:FIRST_KEYS], chosen[FIRST_KEYS:])):
+    for k, some in enumerate(np.split(chosen, KEY_ROUNDS)):
         roots = components(wide_links(labels, some), f"wide-{k}")
         moved = labels.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("label") == F.col("r_node"), "left")
         labels = written(moved.select("node", "fp", F.coalesce("root", "label").alias("label")), f"wide_labels-{k}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, mixing, op4, secrets, simhash, toxicity
+from quillspark.llm._shared import fat_rows
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -27,6 +28,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Texts without words are no copies of each other and all stay.
     """
+    fat_rows(spark)
     return simhash.representatives(docs)
 
 
@@ -49,6 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and whether the ids decode to the text."""
     import public_tokenizers
 
+    fat_rows(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "source", "text"]).select(
         "doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact")
     )
