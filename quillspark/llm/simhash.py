@@ -87,9 +87,8 @@ def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def wide_fingerprint(text: str | None, shingle: int, words: int) -> bytes:
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
     """A fingerprint of ``words`` times 64 bits, from as many hashes of each shingle."""
-    hashes = shingle_hashes(text, shingle)
     return b"".join(majority(remixed(hashes, k)).to_bytes(8, "little") for k in range(words))
 
 
@@ -311,8 +310,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Of ``representatives``: words per shingle, 64-bit words per fingerprint, least similarity
 #: (shared among all shingles of two texts), and the share of pairs of just that similarity to be found.
 WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, RECALL = 5, 4, 0.8, 0.95
-#: Keys are taken in rounds that end at these numbers, and a last one of the rest.
-KEY_ROUNDS = (2, 8)
+#: Shingles are taken in rounds by their lowest byte, which end below these values.
+KEY_ROUNDS = (4, 32, 256)
+#: Candidates differ in at most so many standard deviations more bits than expected at SIMILARITY.
+DEVIATIONS = 6
+#: Common shingles, which prefixes take last: counted in one of so many documents, those with a least count, at most so many.
+SAMPLED, COMMON_LEAST, COMMON_MOST = 32, 4, 200_000
 
 
 def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
@@ -330,44 +333,95 @@ def wide_keys(n: int, similarity: float = SIMILARITY, words: int = WIDE_WORDS, r
     return np.stack([np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(keys)])
 
 
+def candidate_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
+    """Differing bits that candidates may have: texts of SIMILARITY have more in less than one of 10,000 cases."""
+    expected = wide_radius(similarity, words) / (64 * words)
+    return math.ceil(64 * words * expected + DEVIATIONS * math.sqrt(64 * words * expected * (1 - expected)))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different shingles of a text, as sorted hashes."""
+    return np.unique(shingle_hashes(text, WIDE_SHINGLE))
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that are common in a sample of documents, and their ranks from the rarest, from 1.
+
+    Only the order in which prefixes take shingles depends on it, not what is found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["shingle"])
+
+    sample = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SAMPLED)) == 0).select(text_col)
+    counts = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_LEAST)
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).toPandas()
+    hashes = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], len(hashes) - order
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones first, of which sets of SIMILARITY or more share at least one.
+
+    Such sets share at least SIMILARITY of each, so of the first of both, in one order for
+    all sets, one is shared if these leave less than that share.
+    """
+    if not len(hashes):
+        return hashes
+    rank = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        rank = np.where(common[at] == hashes, ranks[at], 0)
+    needed = math.ceil(round(SIMILARITY * len(hashes), 6))
+    return hashes[np.lexsort((hashes, rank))[: len(hashes) - needed + 1]]
+
+
 def wide_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (of the row) and fp of each document."""
+    """doc_id, row (its key), node (of the set of shingles), fp and prefix of each document."""
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     source = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.col(text_col).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("fp", T.BinaryType())])
+    made = [T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("prefix", T.BinaryType())]
+    schema = T.StructType([*source.schema.fields[:-1], *made])
     names = [f.name for f in schema]
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                fps = [wide_fingerprint(t, WIDE_SHINGLE, WIDE_WORDS) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fps, pa.binary())], names)
+                nodes, fps, prefixes = [], [], []
+                for text in part.column(2).to_pylist():
+                    hashes = shingle_set(text)
+                    nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+                    fps.append(wide_fingerprint(hashes, WIDE_WORDS))
+                    prefixes.append(prefix(hashes, *held.value).tobytes())
+                node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], node, pa.array(fps, pa.binary()), pa.array(prefixes, pa.binary())], names)
 
     return source.mapInArrow(run, schema)
 
 
-def wide_links(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """Links (a, b) between the labels of ``nodes`` (node, fp, label) that meet under a key and are within the radius of SIMILARITY."""
+def wide_links(nodes: DataFrame, low: int, high: int) -> DataFrame:
+    """Links (a, b) between the labels of ``nodes`` (node, fp, prefix, label) that meet in a shingle and are within the radius of candidates.
+
+    Shingles are those of the prefix whose lowest byte is from ``low`` to below ``high``.
+    """
     spark = nodes.sparkSession
-    radius, parts = wide_radius(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    radius, parts = candidate_radius(), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                raw = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")
-                made = []
-                for k, places in enumerate(chosen):
-                    packed = np.packbits(bits[:, places], axis=1, bitorder="little")
-                    wide = np.zeros((part.num_rows, -(-packed.shape[1] // 8) * 8), np.uint8)
-                    wide[:, : packed.shape[1]] = packed
-                    key = np.full(part.num_rows, k, np.uint64)
-                    for w in range(0, wide.shape[1], 8):
-                        key = remixed(key ^ np.ascontiguousarray(wide[:, w : w + 8]).view(np.uint64)[:, 0], k)
-                    made.append(key.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.tile(part.column(0).to_numpy(), len(chosen)))], ["key", "node"])
+                raw = part.column(1).to_pylist()
+                key = np.frombuffer(b"".join(raw), np.uint64)
+                node = np.repeat(part.column(0).to_numpy(), [len(r) // 8 for r in raw])
+                place = key & np.uint64(255)
+                taken = (place >= np.uint64(low)) & (place < np.uint64(high))
+                yield pa.RecordBatch.from_arrays([pa.array(key[taken].view(np.int64)), pa.array(node[taken])], ["key", "node"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, (_, node) in runs_of(batches):
@@ -382,30 +436,88 @@ def wide_links(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
                 apart = labels[x] != labels[y]
                 yield from edges(labels, [(x[apart], y[apart])])
 
-    keyed = nodes.select("node", "fp").mapInArrow(keys, "key bigint, node bigint")
+    keyed = nodes.select("node", "prefix").mapInArrow(keys, "key bigint, node bigint")
     buckets = keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(met, "key bigint, node bigint")
-    full = buckets.join(nodes, "node").select("key", "label", "fp")
+    full = buckets.join(nodes.drop("prefix"), "node").select("key", "label", "fp")
     # the smallest label of a bucket comes first: trees under different keys share their links to it
     return full.repartition(parts, "key").sortWithinPartitions("key", "label").mapInArrow(linked, EDGES).distinct()
 
 
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set the number of the first one that links of SIMILARITY or more lead to, by exact counts of shared members."""
+    sizes = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    label, marked = np.arange(len(sets)), np.zeros(len(flat) + 1, bool)
+    rest = np.arange(len(sets))
+    # the members of the sets that are not reached yet, one set after the other
+    members = flat
+    while len(rest) > 1:
+        first, front = rest[0], [rest[0]]
+        members, rest = members[sizes[first] :], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            own = flat[ends[x] - sizes[x] : ends[x]]
+            marked[own] = True
+            shared = np.add.reduceat(marked[members].astype(np.int64), np.cumsum(sizes[rest]) - sizes[rest])
+            marked[own] = False
+            close = shared >= SIMILARITY * (sizes[rest] + sizes[x] - shared) - 1e-9
+            if close.any():
+                found = rest[close]
+                label[found] = first
+                members, rest = members[~np.repeat(close, sizes[rest])], rest[~close]
+                front.extend(found.tolist())
+    return label
+
+
+def verified(candidates: DataFrame) -> DataFrame:
+    """node and label, one for what links of SIMILARITY or more connect, of ``candidates`` (root, node, text): links are looked for within a root."""
+    spark = candidates.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [shingle_set(t).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["root", "node", "set"])
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for root, (_, node, shingles) in runs_of(batches, 1 << 12):
+            nodes, starts = node.to_numpy(), np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]]))
+            for a, b in itertools.pairwise([*starts.tolist(), len(root)]):
+                label = similar([np.frombuffer(s.as_buffer(), np.uint64) for s in shingles[a:b]])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b]), pa.array(nodes[a + label])], ["node", "label"])
+
+    made = candidates.select("root", "node", "text").mapInArrow(sets, "root bigint, node bigint, set binary")
+    return made.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(labelled, "node bigint, label bigint")
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each group of near duplicates the row of the smallest id, with all its columns.
 
-    Groups are the components of links between fingerprints of WIDE_WORDS words over
-    WIDE_SHINGLE-word shingles whose differing bits speak for SIMILARITY or more.  Pairs are
-    found under keys of chosen bits, RECALL of those just at that similarity and nearly all
-    of the closer ones; equal texts always.  Null and empty texts are equal texts.
+    Groups are the components of links between texts whose sets of WIDE_SHINGLE-word
+    shingles have a Jaccard similarity of SIMILARITY or more.  Candidates share a shingle of
+    their prefixes, which all such pairs do, and their fingerprints of WIDE_WORDS words lie
+    within ``candidate_radius``; what candidates connect is then searched with exact counts
+    of shared shingles.  Null and wordless texts have equal (empty) sets and are one group.
     """
     prints = written(wide_prints(docs, id_col, text_col), "wide_prints")
-    nodes = written(prints.groupBy("fp").count().select(F.xxhash64("fp").alias("node"), "fp"), "wide_nodes")
-    # a few keys connect most of a large group, whose links under the others are then none between labels
-    chosen, labels = wide_keys(nodes.count()), nodes.withColumn("label", F.col("node"))
-    for k, some in enumerate(np.split(chosen, KEY_ROUNDS)):
-        roots = components(wide_links(labels, some), f"wide-{k}")
+    alike = prints.groupBy("node").agg(F.min(F.struct("row", "fp", "prefix")).alias("first"))
+    nodes = written(alike.select("node", "first.row", "first.fp", "first.prefix"), "wide_nodes")
+    # a few shingles connect most of a large group, whose links under the others are then none between labels
+    labels = nodes.select("node", "fp", "prefix", F.col("node").alias("label"))
+    for k, (low, high) in enumerate(itertools.pairwise([0, *KEY_ROUNDS])):
+        roots = components(wide_links(labels, low, high), f"wide-{k}")
         moved = labels.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("label") == F.col("r_node"), "left")
-        labels = written(moved.select("node", "fp", F.coalesce("root", "label").alias("label")), f"wide_labels-{k}")
-    named = prints.select("doc_id", "row", F.xxhash64("fp").alias("p_node")).join(labels, F.col("p_node") == F.col("node"))
+        labels = written(moved.select("node", "fp", "prefix", F.coalesce("root", "label").alias("label")), f"wide_labels-{k}")
+    several = labels.groupBy(F.col("label").alias("root")).agg(F.count("*").alias("n")).filter("n > 1")
+    leaders = nodes.select("node", "row").join(labels.select("node", F.col("label").alias("root")), "node").join(several, "root")
+    texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("t_row"), F.col(text_col).alias("text"))
+    exact = verified(leaders.join(texts, F.col("row") == F.col("t_row")).select("root", "node", "text"))
+    # rows of one id and text give a node more than once, with one label
+    exact = written(exact.groupBy(F.col("node").alias("v_node")).agg(F.min("label").alias("label")), "wide_groups")
+    named = prints.select("doc_id", "row", "node").join(exact, F.col("node") == F.col("v_node"), "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     kept = first.select(F.col("first.row").alias("__kept_row"))
     names = docs.columns

@@ -107,6 +107,40 @@ def test_representatives(spark):
     assert simhash.representatives(docs.limit(0)).count() == 0
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_representatives_equal_brute_force_around_the_threshold(spark):
+    rnd = random.Random(21)
+    words, rows = [f"w{k}" for k in range(3000)], []
+    for g in range(250):
+        text = rnd.choices(words, k=rnd.choice([9, 15, 60, 200, 400]))
+        rows.append(" ".join(text))
+        # a tail of other words: similarities from 0.7 to 0.95
+        tail = round(len(text) * (1 / rnd.uniform(0.7, 0.95) - 1))
+        rows.append(" ".join(text + rnd.choices(words, k=tail)))
+        # both ends changed
+        cut = max(1, round(len(text) * rnd.uniform(0.02, 0.16)))
+        rows.append(" ".join(text[cut:] + rnd.choices(words, k=cut)))
+        # a repeated passage adds hardly a shingle
+        rows.append(" ".join(text + text[:50] * (g % 3)))
+    sets = [shingles(t) for t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = sorted(set(joined(len(rows), near)))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == want
+
+
+def test_similar_sets_equal_brute_force():
+    rng = np.random.default_rng(2)
+    base = [rng.integers(0, 2**63, 40).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate([rng.choice(b, rng.integers(33, 41), replace=False), rng.integers(0, 2**63, rng.integers(0, 5)).astype(np.uint64)])) for b in base * 8]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert simhash.similar(sets).tolist() == joined(len(sets), near)
+
+
 def test_wide_keys_find_the_share_they_promise():
     rng = np.random.default_rng(0)
     chosen, radius = simhash.wide_keys(10**5), simhash.wide_radius()
