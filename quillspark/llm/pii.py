@@ -7,7 +7,9 @@ value always becomes a valid one and the map is one to one.  The key and the kin
 only other inputs: equal values stay equal across documents.
 
 * card: 13 to 19 digits, maybe in groups, with a right check digit; the other digits are
-  permuted and the check digit follows;
+  permuted and the check digit follows; where a match with groups beside the card (an expiry
+  date, a code) has a wrong check digit, its longest valid run of whole groups, with one separator
+  throughout, is the card;
 * phone: the digits after a country code, separators stay;
 * ssn: the numbers that can be issued;
 * ip: IPv4 addresses;
@@ -142,6 +144,30 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def card_within(value: Column) -> Column:
+    """The longest, then leftmost, run of whole digit groups with one separator that is a card (``value``), and what is ``before`` it; null if none is."""
+    parts = F.split(value, "(?<=[ -])")
+
+    def run(i: Column, j: Column) -> Column:
+        text = F.regexp_replace(F.array_join(F.slice(parts, i, j - i + 1), ""), "[ -]$", "")
+        return F.struct((-F.length(digits_of(text))).alias("size"), i.alias("at"), text.alias("value"), F.array_join(F.slice(parts, F.lit(1), i - 1), "").alias("before"))
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: run(i, j))))
+    # dates and other numbers beside each other mix separators
+    one = r"^[0-9]+(?: [0-9]+)*$|^[0-9]+(?:-[0-9]+)*$"
+    return F.array_min(F.filter(runs, lambda x: x["size"].between(-19, -13) & x["value"].rlike(one) & (luhn_sum(digits_of(x["value"]), False) % 10 == 0)))
+
+
+def recognised(match: Column) -> Column:
+    """value and kind (null if not valid) of a match, and what of the match is before and after the value."""
+    kind = kind_of(match)
+    whole = F.struct(match.alias("value"), kind.alias("kind"), F.lit("").alias("before"), F.lit("").alias("after"))
+    card = card_within(match)
+    after = F.substring(match, F.length(card["before"]) + F.length(card["value"]) + 1, F.length(match))
+    part = F.struct(card["value"].alias("value"), F.lit("card").alias("kind"), card["before"].alias("before"), after.alias("after"))
+    return F.when(kind.isNull() & match.rlike("^[0-9][0-9 -]{13,}$") & card.isNotNull(), part).otherwise(whole)
+
+
 def pseudonym(value: Column, kind: Column, key: str) -> Column:
     """The value of the same format that stands for a valid one."""
     digits = digits_of(value)
@@ -187,12 +213,13 @@ def replace(docs: DataFrame, keep: list[str], key: str, text_col: str = "text")
     text = F.col(text_col)
     matches = F.when(F.coalesce(text, F.lit("")).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(EVERY), F.lit(0)))
     rows = docs.select(*keep, text.alias("__text"), matches.alias("__matches"))
-    found = F.transform("__matches", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    found = F.transform("__matches", recognised)
     rows = rows.select(*keep, "__text", F.when(F.size("__matches") > 0, found).alias("__found"))
-    named = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym")))
+    named = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), pseudonym(x["value"], x["kind"], key).alias("pseudonym"), x["before"].alias("before"), x["after"].alias("after")))
     rows = rows.select(*keep, "__text", named.alias("__found"))
-    put = F.transform("__found", lambda x: F.coalesce(x["pseudonym"], x["value"]))
+    put = F.transform("__found", lambda x: F.concat(x["before"], F.coalesce(x["pseudonym"], x["value"]), x["after"]))
     text = F.when(F.size("__found") > 0, F.array_join(F.zip_with(F.split("__text", EVERY, -1), put, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(F.col("__text"))
     none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-    valid = F.coalesce(F.filter("__found", lambda x: x["kind"].isNotNull()), none)
+    shown = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["pseudonym"].alias("pseudonym")))
+    valid = F.coalesce(F.filter(shown, lambda x: x["kind"].isNotNull()), none)
     return rows.select(*keep, valid.alias("found"), text.alias("text"))

@@ -107,6 +107,31 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert got == sorted(str((i, None if t is None else re.sub(pii.EVERY, brute, t))) for i, t, _ in rows)
 
 
+def brute_beside(match):
+    """As ``brute``, with the longest valid run of whole groups where all of them are no card."""
+    v = match[0]
+    if not re.fullmatch(r"[0-9][0-9 -]{13,}", v) or luhn(re.sub("[^0-9]", "", v)):
+        return brute(match)
+    groups = list(re.finditer("[0-9]+", v))
+    runs = [(a.start(), b.end()) for k, a in enumerate(groups) for b in groups[k:]]
+    size = lambda r: len(re.sub("[^0-9]", "", v[r[0] : r[1]]))
+    cards = [r for r in runs if len(set(re.sub("[0-9]", "", v[r[0] : r[1]]))) < 2 and 13 <= size(r) <= 19 and luhn(re.sub("[^0-9]", "", v[r[0] : r[1]]))]
+    if not cards:
+        return v
+    a, b = max(cards, key=lambda r: (size(r), -r[0]))
+    d = re.sub("[^0-9]", "", v[a:b])
+    p = permuted(d[:-1], "card")
+    return v[:a] + refill(v[a:b], p + next(c for c in "0123456789" if luhn(p + c))) + v[b:]
+
+
+def test_cards_beside_other_digits(spark, tmp_path):
+    texts = ["4111 1111 1111 1111 12/27", "4111 1111 1111 1111 123", "order 12 4111 1111 1111 1111", "4111-1111-1111-1111 12-3 x", "4111111111111111 99", "4111 1111 1111 1112 12"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op8_pii_pseudonyms(spark, str(tmp_path)).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: re.sub(pii.EVERY, brute_beside, t) for k, t in enumerate(texts)}
+    assert all(got[k].n_card == 1 and "1111 1111" not in got[k].text and "1111-1111" not in got[k].text for k in range(4))
+
+
 def test_kinds_and_links(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     rows = {r.doc_id: r for r in pii.replace(docs, ["doc_id"], "k").collect()}
