@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, similarity 0.8 or more) the document of the smallest id.
 
-    Texts without words are no copies of each other and all stay.
+    Texts without words, null ones too, are one group: the one of the smallest id stays.
     """
     fat_rows(spark)
     return simhash.representatives(docs)
