@@ -1,97 +1,96 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary text, give the probability of a word as the product
-of its characters, each given all characters before it in the word (up to ``ORDER``), the
-end of the word included.  Counts are discounted absolutely, and what that frees goes to
-a backoff that both classes share: how many different words of either class go on with
-that character (the Kneser-Ney continuation count).  So a rare expression is judged by the
-longest beginning that a class has seen often enough, and beyond it says nothing.  Both
-classes leave the same mass to the shared counts at each place, the larger of the two:
-without that, rare words would always speak for the class with less text.
+of its characters (bytes of UTF-8, A-Z in lower case) and of the mark that ends it, each
+given the ORDER - 1 before it back to the mark that begins the word.  At each order, counts
+are discounted absolutely and what that frees goes to the next shorter history.  The
+longest order, and the beginnings of words, are counted by occurrence; shorter ones by the
+Kneser-Ney continuation count, in how many different longer contexts a class has them; the
+shortest backs off to one distribution that both classes share.  At each history both
+classes leave the same mass to the shorter one, the larger of the two (all of it where a
+class has not seen the history): without that, rare words would always speak for the class
+with less text.  So a rare expression is judged by the longest stretches of it that both
+classes know, and beyond them says nothing.
+
+The log-likelihood ratio of a character is that of its longest known gram; written as a sum
+over all its grams, each with what it adds to its suffix (``delta``), the ratio of a word
+needs no order among them.  Grams that add nothing are not held: those that neither class
+has seen more often than the discount.
 
 A document's score is that of its worst passage: the largest log-likelihood ratio per word
-over windows of so many words (a shorter text counts as one window), so a toxic passage in a
-very long text is found and length alone raises nothing.  The window, of ``WINDOWS``, and a
-logistic curve that gives 0 to 1 are fitted to labelled rows scored by models that have not
-seen them (two folds).
-
-Counts cover every labelled row.  The model that goes to the workers holds beginnings with
-at least a share ``SHARE`` of their class's words, hence at most ``2 (ORDER + 2) / SHARE``
-whatever the size of the corpus (in practice about a tenth of 1 / SHARE).
-
-Defined cases: null and empty texts have no words and get the score of a zero ratio;
-rows without a label train nothing; a document labelled more than once counts as toxic if
-half of its labels say so; repeated rows all stay; without labels of both classes every
-score is the share of toxic labels, or 0; an empty table gives no rows.
+over windows of so many words (a shorter text is one window of its own length), so a toxic
+passage in a very long text is found and length alone raises nothing.  The window, of
+``WINDOWS``, and a logistic curve (with one bend) that gives 0 to 1 are fitted to one
+labelled row in SET_ASIDE, scored by a model that has not seen it.
+
+Counts cover every labelled row and stay in tables; the probabilities of an order are a
+join with those of the order below.  Up to BLOCK grams go to the workers at once; a larger
+model is applied block by block, each adding to the words' ratios, with the same result.
+
+Defined cases: null and empty texts have no words and get the score of a zero ratio; a
+very long text or word is read whole; rows without a label train nothing; a document
+labelled more than once counts as toxic if half of its labels say so; repeated rows all
+stay; columns of any name may be kept; without labels of both classes every score is the
+share of toxic labels, or 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._shared import written
+from quillspark.llm._shared import drop_written, written
 
-ORDER = 32
+#: Bytes of a gram, the last one given the others; a gram is held as one 64-bit number.
+ORDER = 7
 WINDOWS = (1, 2, 4, 8, 16, 32)
-#: Least share of its class's words for the beginning of a word to be held, and least count.
-SHARE, LEAST = 1e-5, 2
-DISCOUNT = 1.0
+DISCOUNT = 3.0
 #: A word's ratio stays within this, so that no single expression outweighs a passage without bound.
-CLIP = 6.0
+CLIP = 12.0
+#: Grams that are broadcast at once.
+BLOCK = 4_000_000
 #: Labels up to this many are joined by broadcast, more by a shuffle.
 BROADCAST_LABELS = 2_000_000
-#: Words whose ratio a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ratio a worker remembers, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 200_000
-END = " "
+#: The mark between words.
+MARK = b" "
 #: ASCII letters (in lower case) and digits stay, other ASCII is space; bytes from 0x80 stay.
 SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: One labelled row in so many is kept from the first model, for the window and the curve.
+SET_ASIDE = 4
+#: Of the two models (of the other rows, of all rows): the classes by which toxic and ordinary text is counted.
+SIDES = (((1,), (0,)), ((1, 3), (0, 2)))
+WHOLE = 1
+COUNTS = [f"{c}{m}" for m in range(len(SIDES)) for c in "to"]
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(SPLIT).split()
 
 
-@dataclass
-class Model:
-    """Log-likelihood ratio, toxic to ordinary, of what is held of the beginnings of words."""
-
-    ratio: dict[str, float]
-    _seen: dict[bytes, float] = field(default_factory=dict, repr=False)
-
-    def word(self, word: bytes) -> float:
-        """By the longest beginning held: those of one word are held down to some length."""
-        text = word.decode()[:ORDER] + END
-        low, high = 0, len(text)
-        while low < high:
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if text[:middle] in self.ratio else (low, middle - 1)
-        return min(max(self.ratio.get(text[:low], 0.0), -CLIP), CLIP)
-
-    def ratios(self, words: list[bytes]) -> np.ndarray:
-        seen = self._seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = self.word(w)
-        return np.fromiter(map(seen.__getitem__, words), float, len(words))
-
-    def passages(self, text: str | None) -> list[float]:
-        """For each window, the largest sum over so many words in sequence, per word of the window."""
-        ratios = self.ratios(words_of(text))
-        sums = np.concatenate([[0.0], np.cumsum(ratios)])
-        return [float(sums[-1] if len(ratios) <= w else (sums[w:] - sums[:-w]).max()) / w for w in WINDOWS]
+def codes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The gram that ends at each byte of each word and at the mark after it, as a number, and how many each word has."""
+    joined = np.frombuffer(MARK + MARK.join(words) + MARK, np.uint8).astype(np.uint64)
+    lengths = np.array([len(w) + 1 for w in words], np.int64)
+    at, begins = np.arange(1, len(joined)), np.repeat(np.cumsum(lengths) - lengths, lengths)
+    codes = np.zeros(len(at), np.uint64)
+    for k in range(ORDER):
+        inside = at - k >= begins
+        codes[inside] |= joined[at[inside] - k] << np.uint64(8 * k)
+    return codes, lengths
 
 
 def word_counts(rows: DataFrame, text_col: str, class_col: str, n_classes: int) -> DataFrame:
@@ -120,80 +119,252 @@ def word_counts(rows: DataFrame, text_col: str, class_col: str, n_classes: int)
     return made.groupBy("word").agg(*[F.sum(f"n{c}").alias(f"n{c}") for c in range(n_classes)])
 
 
-def beginnings(words: DataFrame, n_classes: int) -> DataFrame:
-    """start, its counts n0, n1, ... and ``kinds``, the number of different words with it."""
-    marked = F.concat(F.substring("word", 1, ORDER), F.lit(END))
-    starts = F.transform(F.sequence(F.lit(0), F.length(marked)), lambda i: F.substring(marked, F.lit(1), i))
-    counts = [f"n{c}" for c in range(n_classes)]
-    return words.select(F.explode(starts).alias("start"), *counts).groupBy("start").agg(*[F.sum(c).alias(c) for c in counts], F.count("*").alias("kinds"))
-
-
-def build(held: pd.DataFrame, toxic: list[str], ordinary: list[str]) -> Model:
-    """The model whose text of either class is counted in the given columns of the held beginnings."""
-    if not len(held):
-        return Model({})
-    n = {s: (float(t), float(o), float(k)) for s, t, o, k in zip(held["start"], held[toxic].sum(axis=1), held[ordinary].sum(axis=1), held["kinds"], strict=True)}
-    bars = [max(LEAST, SHARE * x) for x in n[""][:2]]
-    children: dict[str, list[str]] = defaultdict(list)
-    for s, (t, o, _) in n.items():
-        if s and (t >= bars[0] or o >= bars[1]):
-            children[s[:-1]].append(s)
-    ratio = {"": 0.0}
-    for s in sorted(children, key=len):
-        if s not in ratio:
-            continue
-        *seen, kinds = n[s]
-        below = children[s]
-        if min(seen) == 0:
-            ratio |= dict.fromkeys(below, ratio[s])
-            continue
-        share = np.array([[max(n[c][k] - DISCOUNT, 0.0) / seen[k] for c in below] for k in (0, 1)])
-        total = share.sum(axis=1, keepdims=True)
-        rest = float(min(1.0, max(1e-9, (1 - total).max())))
-        common = rest * np.array([n[c][2] / kinds for c in below])
-        p = share * np.divide(1 - rest, total, out=np.zeros_like(total), where=total > 0) + common
-        ratio |= zip(below, (ratio[s] + np.log(p[0]) - np.log(p[1])).tolist(), strict=True)
-    return Model(ratio)
-
-
-def passages(rows: DataFrame, keep: list[str], text_col: str, models: list[Model], which: str | None = None) -> DataFrame:
-    """The columns ``keep`` and ``__passages``, one ratio per window, by the model numbered in ``which``."""
-    held = rows.sparkSession.sparkContext.broadcast([m.ratio for m in models])
-    source = rows.select(*keep, F.col(text_col).alias("__text"), (F.col(which) if which else F.lit(0)).alias("__model"))
-    schema = T.StructType([*source.schema.fields[:-2], T.StructField("__passages", T.ArrayType(T.DoubleType()))])
+def gram_counts(words: DataFrame, n_classes: int) -> DataFrame:
+    """code and the counts COUNTS of each gram of ORDER bytes and of each shorter one that begins a word."""
+    schema = T._parse_datatype_string("code bigint, " + ", ".join(f"n{c} bigint" for c in range(n_classes)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 14):
+                part = batch.slice(at, 1 << 14)
+                codes, lengths = codes_of([w.encode() for w in part.column(0).to_pylist()])
+                found, of = np.unique(codes, return_inverse=True)
+                sums = [np.bincount(of, np.repeat(n.to_numpy(), lengths), len(found)).astype(np.int64) for n in part.columns[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *map(pa.array, sums)], schema.names)
+
+    made = words.select("word", *schema.names[1:]).mapInArrow(run, schema)
+    sums = made.groupBy("code").agg(*[F.sum(n).alias(n) for n in schema.names[1:]])
+    counts = {f"{c}{m}": reduce(Column.__add__, [F.col(f"n{k}") for k in side[i]]) for m, side in enumerate(SIDES) for i, c in enumerate("to")}
+    return sums.select("code", *[counts[n].alias(n) for n in COUNTS])
+
+
+def last_bytes(code: Column, n: int) -> Column:
+    return code.bitwiseAND(F.lit((1 << 8 * n) - 1).cast("bigint"))
+
+
+def counted(grams: DataFrame) -> DataFrame:
+    """order, code and counts of every gram: continuation counts, but occurrences at ORDER and of grams that begin a word.
+
+    The number of bytes of a code is told by its size, since no byte is 0.
+    """
+    bytes_ = sum((F.col("code") >= 1 << 8 * k).cast("int") for k in range(ORDER))
+    suffixes = F.explode(F.array_distinct(F.array(*[last_bytes(F.col("code"), k) for k in range(1, ORDER)]))).alias("part")
+    # which proper suffixes a model's class has; a gram that is a suffix begins no word
+    seen = [F.max(F.col(n) > 0).alias(n) for n in COUNTS]
+    parts = grams.select("code", suffixes, *COUNTS).filter("part <> code").groupBy(F.col("part").alias("code")).agg(*seen)
+    every = grams.select("code", *[(F.col(n) > 0).alias(n) for n in COUNTS]).unionByName(parts).withColumn("order", bytes_).filter("order > 1")
+    drop_first = F.expr("code & (shiftleft(1L, 8 * (order - 1)) - 1L)")
+    kinds = every.groupBy(drop_first.alias("code")).agg(*[F.count_if(n).alias(n) for n in COUNTS])
+    return grams.unionByName(kinds).withColumn("order", bytes_)
+
+
+def probabilities(table: DataFrame, k: int, below: DataFrame | None) -> DataFrame:
+    """code, p_ (of each class and model), d_ (of each model: what the gram adds to its suffix's ratio) and whether it is ``held``.
+
+    ``table`` has the grams of order ``k`` with sum_ and kept_, the sums of their history's
+    counts before and after the discount; ``below`` are the probabilities of the order
+    below; below the first is the share of a byte among both classes' counts.
+    """
+    kept = {n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) for n in COUNTS}
+    rows = table
+    if below is None:
+        low = {f"{c}{m}": F.try_divide((F.col(f"t{m}") + F.col(f"o{m}")).cast("double"), F.col(f"sum_t{m}") + F.col(f"sum_o{m}")) for m in range(len(SIDES)) for c in "to"}
+    else:
+        rows = rows.join(below.select(F.col("code").alias("low_code"), *[F.col(f"p_{n}").alias(f"low_{n}") for n in COUNTS]), last_bytes(F.col("code"), k - 1) == F.col("low_code"))
+        low = {n: F.col(f"low_{n}") for n in COUNTS}
+    left = {n: F.coalesce(1 - F.try_divide(F.col(f"kept_{n}"), F.col(f"sum_{n}")), F.lit(1.0)) for n in COUNTS}
+    rest = [F.greatest(left[f"t{m}"], left[f"o{m}"]) for m in range(len(SIDES))]
+    p = {n: (1 - rest[int(n[1:])]) * F.coalesce(F.try_divide(kept[n], F.col(f"kept_{n}")), F.lit(0.0)) + rest[int(n[1:])] * low[n] for n in COUNTS}
+    rows = rows.select("code", F.greatest(*[F.col(n) for n in COUNTS]).alias("most"), *[low[n].alias(f"l_{n}") for n in COUNTS], *[p[n].alias(f"p_{n}") for n in COUNTS])
+    # a model that has not seen a byte says nothing of it
+    ratio = lambda x, m: F.coalesce(F.ln(F.try_divide(F.col(f"{x}_t{m}"), F.col(f"{x}_o{m}"))), F.lit(0.0))
+    adds = [(ratio("p", m) - ratio("l", m)).cast("float").alias(f"d{m}") for m in range(len(SIDES))]
+    return rows.select("code", *[f"p_{n}" for n in COUNTS], *adds, (F.col("most") > DISCOUNT).alias("held"))
+
+
+def with_history(grams: DataFrame) -> DataFrame:
+    """``grams`` with sum_ and kept_, the sums over the grams of one history before and after the discount."""
+    kept = [F.sum(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))).alias(f"kept_{n}") for n in COUNTS]
+    sums = grams.groupBy(F.shiftright("code", 8).alias("h")).agg(*[F.sum(n).alias(f"sum_{n}") for n in COUNTS], *kept)
+    return grams.join(sums, F.shiftright("code", 8) == F.col("h")).drop("h")
+
+
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def hashed(codes: np.ndarray, adds: np.ndarray) -> Table:
+    """An open hash table of the codes, 0 where a slot is free, and what is added for each slot."""
+    bits = max(4, int(4 * len(codes)).bit_length())
+    slots, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+    left, at = np.arange(len(codes)), slot(codes, bits)
+    while len(left):
+        free = slots[at] == 0
+        _, first = np.unique(at[free], return_index=True)
+        placed = np.flatnonzero(free)[first]
+        slots[at[placed]], values[at[placed]] = codes[left[placed]], adds[left[placed]]
+        waits = np.ones(len(left), bool)
+        waits[placed] = False
+        left, at = left[waits], at[waits] + 1 & (1 << bits) - 1
+    return slots, values
+
+
+def slot(codes: np.ndarray, bits: int) -> np.ndarray:
+    return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def found(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the codes the table has, and the slots of these."""
+    at = slot(codes, len(slots).bit_length() - 1)
+    there = slots[at]
+    hit, open_ = there == codes, np.flatnonzero((there != codes) & (there != 0))
+    while len(open_):
+        at[open_] = at[open_] + 1 & len(slots) - 1
+        there = slots[at[open_]]
+        hit[open_] = there == codes[open_]
+        open_ = open_[(there != codes[open_]) & (there != 0)]
+    return np.flatnonzero(hit), at[hit]
+
+
+@dataclass
+class Model:
+    """code and d0, d1, ... of each gram held, and their number."""
+
+    table: DataFrame
+    n: int
+
+    def blocks(self, number: int) -> Iterator[Table]:
+        """A hash table of what grams add in the model of that number, BLOCK grams or about as many at a time."""
+        n_blocks = max(1, -(-self.n // BLOCK))
+        for b in range(n_blocks):
+            # no more than a block comes to the driver
+            rows = self.table.filter(F.pmod(F.xxhash64("code"), F.lit(n_blocks)) == b).select("code", f"d{number}").toPandas()
+            yield hashed(rows["code"].to_numpy(np.int64).view(np.uint64), rows[f"d{number}"].to_numpy(np.float32))
+
+
+def build(words: DataFrame, n_classes: int = 4) -> Model:
+    """The models of SIDES, from the words and their counts in each class."""
+    grams = written(gram_counts(words, n_classes), "grams")
+    every = written(counted(grams), "orders")
+    ready = written(with_history(every), "histories")
+    parts, below = [], None
+    for k in range(1, ORDER + 1):
+        below = written(probabilities(ready.filter(F.col("order") == k), k, below), f"probabilities-{k}")
+        parts.append(below.filter("held").select("code", *[f"d{m}" for m in range(len(SIDES))]))
+    held = written(reduce(DataFrame.unionByName, parts), "model")
+    for t in (grams, every, ready):
+        drop_written(t)
+    return Model(held, held.count())
+
+
+def word_ratios(words: list[bytes], table: Table) -> np.ndarray:
+    """What a table's grams add to the ratio of each word."""
+    codes, lengths = codes_of(words)
+    slots, adds = table
+    out = np.zeros(len(codes))
+    for k in range(1, ORDER + 1):
+        there = np.flatnonzero(codes >> np.uint64(8 * (k - 1)))
+        hit, at = found(codes[there] & np.uint64((1 << 8 * k) - 1), slots)
+        out[there[hit]] += adds[at]
+    return np.add.reduceat(out, np.cumsum(lengths) - lengths)
+
+
+class Ratios:
+    """Ratios of words, computed for all new words of some texts at once; short words are remembered."""
+
+    def __init__(self, table: Table):
+        self.table, self.seen = table, {}
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Of each text the ratios of its words."""
+        if len(self.seen) > REMEMBERED:
+            self.seen = {}
+        seen = self.seen
+        new = list(set().union(*texts).difference(seen))
+        if new:
+            seen.update(zip(new, word_ratios(new, self.table).tolist(), strict=True))
+        out = [np.fromiter(map(seen.__getitem__, words), float, len(words)) for words in texts]
+        for w in new:
+            if len(w) > LONGEST:
+                del seen[w]
+        return out
+
+
+def windows(ratios: np.ndarray) -> list[float]:
+    """For each window, the largest sum over so many words in sequence, per word."""
+    n = len(ratios)
+    if not n:
+        return [0.0] * len(WINDOWS)
+    sums = np.concatenate([[0.0], np.cumsum(np.clip(ratios, -CLIP, CLIP))])
+    return [float(sums[-1] / n if n <= w else (sums[w:] - sums[:-w]).max() / w) for w in WINDOWS]
+
+
+def passages(rows: DataFrame, keep: list[str], text_col: str, model: Model, number: int = WHOLE) -> DataFrame:
+    """The columns ``keep`` as c0, c1, ... and ``passages``, one ratio per window, by one of the models."""
+    kept = [f"c{k}" for k in range(len(keep))]
+    source = rows.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(text_col).alias("text"))
+    n_blocks = max(1, -(-model.n // BLOCK))
+    for b, block in enumerate(model.blocks(number)):
+        last = b == n_blocks - 1
+        source = rated(source, kept, block, first=b == 0, last=last)
+        if not last:
+            source = written(source, f"ratios-{b}")
+    return source
+
+
+def rated(source: DataFrame, kept: list[str], block: Table, first: bool, last: bool) -> DataFrame:
+    """Adds a block to the ratios of each text's words; the last one gives ``passages`` in place of text and ratios."""
+    held = source.sparkSession.sparkContext.broadcast(block)
+    n = len(kept)
+    made = [T.StructField("passages", T.ArrayType(T.DoubleType()))] if last else [source.schema.fields[n], T.StructField("ratios", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*source.schema.fields[:n], *made])
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Model(r) for r in held.value]
+        ratios = Ratios(held.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts, which = part.column(len(keep)).to_pylist(), part.column(len(keep) + 1).to_pylist()
-                found = [models[m].passages(x) for x, m in zip(texts, which, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))], names)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sums = ratios.of([words_of(t) for t in part.column(n).to_pylist()])
+                if not first:
+                    sums = [f + np.array(r, float) for f, r in zip(sums, part.column(n + 1).to_pylist(), strict=True)]
+                out = [windows(f) for f in sums] if last else [f.tolist() for f in sums]
+                columns = part.columns[: n if last else n + 1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.float64()))], names)
 
     return source.mapInArrow(run, schema)
 
 
-def curve(bins: pd.DataFrame, penalty: float = 0.02) -> tuple[float, float, float]:
-    """Slope and intercept of a logistic curve through binned scores (passage, toxic, n), and its log-loss."""
+def curve(bins: pd.DataFrame, bend: float = math.inf, penalty: float = 0.02) -> tuple[tuple[float, float, float], float]:
+    """Slope, intercept and further slope above ``bend`` of a logistic curve through binned scores (passage, toxic, n), and its log-loss."""
     if not len(bins) or bins["toxic"].nunique() < 2:
         n = float(bins["n"].sum()) if len(bins) else 0.0
         share = float((bins["toxic"] * bins["n"]).sum() / n) if n else 0.0
-        return 0.0, math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0
+        return (0.0, math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0), 0.0
     x, y, w = (bins[c].to_numpy(float) for c in ("passage", "toxic", "n"))
     scale = max(float(np.sqrt(np.average((x - np.average(x, weights=w)) ** 2, weights=w))), 1e-6)
-    features, beta = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2)
+    features = np.stack([x / scale, np.ones(len(x)), np.maximum(x - bend, 0.0) / scale], axis=1)
+    beta, ridge = np.zeros(3), np.array([penalty, 1e-9, penalty])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(features @ beta, -35, 35)))
-        gradient = features.T @ (w * (y - p)) - np.array([penalty, 0]) * beta
-        hessian = (features * (w * p * (1 - p))[:, None]).T @ features + np.diag([penalty, 1e-9])
+        gradient = features.T @ (w * (y - p)) - ridge * beta
+        hessian = (features * (w * p * (1 - p))[:, None]).T @ features + np.diag(ridge)
         step = np.linalg.solve(hessian, gradient)
         beta += step * min(1.0, 2.0 / max(float(np.abs(step).max()), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(features @ beta, -35, 35))), 1e-12, 1 - 1e-12)
-    return float(beta[0] / scale), float(beta[1]), float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+    loss = float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+    rises = beta[0] >= 0 and beta[0] + beta[2] >= 0
+    return (float(beta[0] / scale), float(beta[1]), float(beta[2] / scale)), loss if rises or math.isinf(bend) else math.inf
+
+
+def curves(bins: pd.DataFrame) -> tuple[tuple[float, float, float], float, float]:
+    """The best curve over bends at the tenths of the toxic scores, its bend (infinite: none) and its log-loss."""
+    toxic = bins[bins["toxic"] == 1] if len(bins) else bins
+    spread = np.repeat(toxic["passage"].to_numpy(float), toxic["n"].to_numpy(np.int64)) if len(toxic) else np.zeros(0)
+    bends = [math.inf, *sorted(set(np.quantile(spread, np.arange(1, 10) / 10).tolist()))] if len(spread) else [math.inf]
+    (line, loss), bend = min(((curve(bins, b), b) for b in bends), key=lambda f: f[0][1])
+    return line, bend, loss
 
 
 @dataclass
@@ -202,6 +373,8 @@ class Classifier:
     window: int  # its number in WINDOWS
     slope: float
     intercept: float
+    more: float = 0.0  # slope added above the bend
+    bend: float = math.inf
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,26 +387,23 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(training: DataFrame) -> Classifier:
     """Fit to ``training`` (doc_id, text, toxic)."""
-    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(2)).cast("int")
-    rows = training.select("text", "toxic", fold.alias("fold")).withColumn("class", (F.col("fold") * 2 + F.col("toxic")).cast("int"))
-    words = written(word_counts(rows, "text", "class", 4), "words")
-    counts = words.agg(*[F.coalesce(F.sum(f"n{c}"), F.lit(0)).alias(f"n{c}") for c in range(4)]).first()
-    sides = [(["n1"], ["n0"]), (["n3"], ["n2"]), (["n1", "n3"], ["n0", "n2"])]
-    # bars of the smaller fold: what any of the three models may hold
-    bars = [(cs, max(LEAST, SHARE * sum(counts[c] for c in cs))) for side in sides for cs in side]
-    frequent = F.array_max(F.array(F.col("start") == "", *[sum((F.col(c) for c in cs[1:]), F.col(cs[0])) >= bar for cs, bar in bars]))
-    held = beginnings(words, 4).filter(frequent).toPandas()
-    first, second, whole = (build(held, *side) for side in sides)
-    scored = passages(rows.withColumn("model", 1 - F.col("fold")), ["toxic"], "text", [first, second], "model")
-    each = scored.select("toxic", F.posexplode("__passages").alias("window", "passage"))
+    aside = (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SET_ASIDE)) == 0).cast("int")
+    rows = training.select("text", "toxic", aside.alias("aside"))
+    model = build(written(word_counts(rows.withColumn("class", (F.col("aside") * 2 + F.col("toxic")).cast("int")), "text", "class", 4), "words"))
+    scored = passages(rows.filter("aside = 1"), ["toxic"], "text", model, 0)
+    each = scored.select(F.col("c0").alias("toxic"), F.posexplode("passages").alias("window", "passage"))
     bins = each.groupBy("window", F.round("passage", 2).alias("passage"), "toxic").agg(F.count("*").alias("n")).toPandas()
-    fits = [(curve(bins[bins["window"] == k]), k) for k in range(len(WINDOWS))]
-    (slope, intercept, _), window = min(fits, key=lambda f: (f[0][2], f[1]))
-    return Classifier(whole, window, slope, intercept)
+    fits = [(*curves(bins[bins["window"] == k]), k) for k in range(len(WINDOWS))]
+    (slope, intercept, more), bend, _, window = min(fits, key=lambda f: (f[2], f[3]))
+    return Classifier(model, window, slope, intercept, more, bend)
 
 
 def score(docs: DataFrame, classifier: Classifier, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns ``keep`` and ``name``, the probability of the label 1."""
-    rated = passages(docs, keep, text_col, [classifier.model])
-    z = F.col("__passages")[classifier.window] * classifier.slope + classifier.intercept
-    return rated.select(*keep, (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))).alias(name))
+    rows = passages(docs, keep, text_col, classifier.model)
+    x = F.col("passages")[classifier.window]
+    z = x * classifier.slope + classifier.intercept
+    if math.isfinite(classifier.bend):
+        z = z + F.greatest(x - classifier.bend, F.lit(0.0)) * classifier.more
+    probability = 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-500.0)), F.lit(500.0))))
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], probability.alias(name))

@@ -1,8 +1,8 @@
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from quillspark.llm import toxicity
@@ -59,16 +59,78 @@ def test_held_out_labels_change_nothing(spark, tables, tmp_path):
     assert scores(folder) == scores(str(tmp_path))
 
 
-def test_ratio_follows_the_formula():
-    n = {"": (20, 40, 4), "a": (15, 10, 2), "b": (5, 30, 2), "ab": (15, 0, 1), "aa": (0, 10, 1), "ab ": (15, 0, 1)}
-    held = pd.DataFrame([(s, *v) for s, v in n.items()], columns=["start", "t", "o", "kinds"])
-    ratio = toxicity.build(held, ["t"], ["o"]).ratio
-    rest = max(1 - (14 + 4) / 20, 1 - (9 + 29) / 40)
-    p = [(14 / 20) * (1 - rest) / (18 / 20) + rest * 2 / 4, (9 / 40) * (1 - rest) / (38 / 40) + rest * 2 / 4]
-    assert ratio["a"] == pytest.approx(np.log(p[0] / p[1]))
-    assert ratio["ab "] == ratio["ab"] > ratio["a"] > ratio["aa"]  # the ordinary class has not seen "ab"
-    model = toxicity.Model(ratio)
-    assert model.word(b"abx") == pytest.approx(max(-6, min(6, ratio["ab"]))) and model.word(b"zz") == 0.0
+def brute_ratio(counts, word):
+    """The log-likelihood ratio of a word by the definition: interpolated from the longest history down, one probability at a time."""
+    seen = [Counter(), Counter()]  # occurrences of every stretch of up to ORDER bytes, and what stands before it
+    before = [defaultdict(set), defaultdict(set)]
+    for c in (0, 1):
+        for w, n in counts[c].items():
+            b = b" " + w.encode() + b" "
+            for end in range(2, len(b) + 1):
+                for size in range(1, min(toxicity.ORDER, end) + 1):
+                    g = b[end - size : end]
+                    seen[c][g] += n
+                    if end - size > 0:
+                        before[c][g].add(b[end - size - 1])
+    every = set(seen[0]) | set(seen[1])
+
+    def count(c, g):
+        return seen[c][g] if len(g) == toxicity.ORDER or g[:1] == b" " and len(g) > 1 else len(before[c][g])
+
+    def probability(g):
+        siblings = [x for x in every if len(x) == len(g) and x[:-1] == g[:-1]]
+        sums = [sum(count(c, x) for x in siblings) for c in (0, 1)]
+        kept = [sum(max(count(c, x) - toxicity.DISCOUNT, 0) for x in siblings) for c in (0, 1)]
+        low = probability(g[1:]) if len(g) > 1 else [(count(0, g) + count(1, g)) / sum(sums)] * 2
+        rest = max(1 - kept[c] / sums[c] if sums[c] else 1 for c in (0, 1))
+        return [(1 - rest) * max(count(c, g) - toxicity.DISCOUNT, 0) / kept[c] + rest * low[c] if kept[c] else rest * low[c] for c in (0, 1)]
+
+    b, out = b" " + word.encode() + b" ", 0.0
+    for end in range(2, len(b) + 1):
+        g = b[max(0, end - toxicity.ORDER) : end]
+        if g[-1:] in every:
+            ordinary, toxic = probability(g)
+            out += np.log(toxic / ordinary)
+    return out
+
+
+@pytest.mark.parametrize("block", [1_000_000, 40])
+def test_ratios_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rnd = random.Random(5)
+    word = lambda letters: "".join(rnd.choices(letters, k=rnd.choice([1, 3, 6, 9])))
+    counts = [Counter(word("abc") for _ in range(150)), Counter(word("abd") for _ in range(60))]
+    counts[0]["é"], counts[1]["vexé"] = 9, 12
+    rows = [(w, counts[0][w], counts[1][w], 0, 0) for w in set(counts[0]) | set(counts[1])]
+    model = toxicity.build(spark.createDataFrame(rows, "word string, n0 long, n1 long, n2 long, n3 long"))
+    tables = list(model.blocks(0))
+    assert (len(tables) > 1) == (block == 40)
+    asked = [*rnd.sample(sorted(set(counts[0]) | set(counts[1])), 25), "vexéa", "zz", "a" * 40, "bad", "é"]
+    got = sum(toxicity.word_ratios([w.encode() for w in asked], t) for t in tables)
+    assert got == pytest.approx([brute_ratio(counts, w) for w in asked], abs=1e-4)
+    text = " ".join(asked)
+    docs = spark.createDataFrame([(text,), (None,), ("vexé",)], "text string")
+    found = {r.c0: r.passages for r in toxicity.passages(docs, ["text"], "text", model, 0).collect()}
+    assert found[None] == [0.0] * len(toxicity.WINDOWS)
+    clipped = np.clip(got, -toxicity.CLIP, toxicity.CLIP)
+    assert found[text][0] == pytest.approx(max(clipped), abs=1e-4) and found[text][-1] == pytest.approx(clipped.mean(), abs=1e-4)
+    assert found["vexé"][0] == pytest.approx(found["vexé"][-1])  # a short text is one window of its own length
+
+
+def test_table_finds_what_it_holds():
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(1, 1 << 56, 5000).astype(np.uint64))
+    slots, values = toxicity.hashed(codes[::2], np.arange(len(codes[::2]), dtype=np.float32))
+    hit, at = toxicity.found(codes, slots)
+    assert hit.tolist() == list(range(0, len(codes), 2)) and values[at].tolist() == list(range(len(codes[::2])))
+
+
+def test_clashing_names_are_kept(spark, tables):
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", *[toxicity.F.lit("x").alias(n) for n in ("c0", "model", "passages", "ratios", "__text")]).limit(5)
+    training = spark.createDataFrame([(k, "vex bad" if k % 2 else "good", k % 2) for k in range(40)], "doc_id long, text string, toxic int")
+    got = toxicity.score(docs, toxicity.fit(training), docs.columns).collect()
+    assert len(got) == 5 and all(r.c0 == r.passages == "x" and 0 <= r.score <= 1 for r in got)
 
 
 def test_no_labels_and_empty_tables(spark, tmp_path):
