@@ -11,7 +11,7 @@ Encoded pre-tokens and chunks between spaces are remembered in bounded tables pe
 Python worker, which changes the time and never the result.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes
-to the empty text; rows are kept one to one, repeated ones too; an empty table
+to the empty text; a very long text or pre-token is encoded whole; rows are kept one to one, repeated ones too; an empty table
 gives an empty result.
 """
 
@@ -32,8 +32,11 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: From here on the Unicode versions of two libraries may differ; such texts are cut by the tokenizer's own pre-tokenizer.
 LATE = regex.compile(r"[^\u0000-ӿ]")
-#: Pre-tokens, and chunks of text between spaces, that a worker remembers per generation.
-PIECES, CHUNKS = 500_000, 300_000
+#: A space that always begins a pre-token: between two characters that no definition counts as white space; and signs of others.
+BREAK = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
+OTHER = regex.compile(r"^ | $|[\s\x1c-\x1f] | [\s\x1c-\x1f]")
+#: Pre-tokens, and chunks of text between spaces, that a worker remembers per generation, and the longest of them.
+PIECES, CHUNKS, LONGEST = 500_000, 300_000, 64
 NO_PAIR = 1 << 62
 
 
@@ -101,7 +104,7 @@ def merge_all(symbols: list[int], pair_ranks: dict[int, int]) -> list[int]:
 
 
 class Remembered(dict):
-    """key -> ids as little-endian bytes, for up to twice ``most`` keys.
+    """key -> ids as little-endian bytes, for up to twice ``most`` keys of up to LONGEST characters.
 
     When ``most`` keys are in, they become the old generation and replace the one
     before; a key found there moves back, so frequent keys stay.
@@ -112,6 +115,8 @@ class Remembered(dict):
         self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > LONGEST:
+            return self.encode(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -166,15 +171,14 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
-        A single space between two other characters always begins a pre-token, so a text
-        without a run of spaces is the sequence of its chunks.
+        A space between two characters that are no white space always begins a pre-token, so
+        a text is the sequence of its chunks between such spaces.  Beside other white space
+        it may not: it then stays inside its chunk.
         """
         if self.special is not None and any(s in text for s in self.added):
             parts = self.special.split(text)
             return b"".join(self.added[p].to_bytes(4, "little") if p in self.added else self.encode_plain(p) for p in parts if p)
-        if "  " in text or text[:1] == " " or text[-1:] == " ":
-            return self.encode_plain(text)
-        first, *rest = text.split(" ")
+        first, *rest = BREAK.split(text) if OTHER.search(text) else text.split(" ")
         return self.encode_plain(first) + b"".join(map(self.chunks.__getitem__, rest))
 
     def decode(self, ids: bytes) -> str:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from quillspark.llm.op10 import round_trip
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-CASES = [None, "", " ", "\n\n a  b\t\x1c\x85", "hello world's  end\n", "<|endoftext|>a <|endoftext|>", "a<|endoftext|", "ab" * 3000, " " * 500 + "x", "naïve ÉÉ ß 12345 ½", "՘՘b 漢字 कि 🙂🙂 é", "x" * 20001]
+CASES = [None, "", " ", "\n\n a  b\t\x1c\x85", "hello world's  end\n", "<|endoftext|>a <|endoftext|>", "a<|endoftext|", "ab" * 3000, " " * 500 + "x", "naïve ÉÉ ß 12345 ½", "՘՘b 漢字 कि 🙂🙂 é", "x" * 20001, "\n \xa0 \xa0\n", "a \xa0b \x1c c\u2003 d \t e", "a \u2003\u2003 b\xa0 ", ("z" * 90 + " ") * 3]
 
 
 def expected(text):
@@ -27,7 +29,7 @@ def test_cases_match_the_library(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text("ab \n\t's1.é\x85", max_size=40), st.text("a \n", max_size=30)))
+@given(st.one_of(st.text(max_size=60), st.text("ab \n\t's1.é\x85", max_size=40), st.text("a \n", max_size=30), st.text("ab \xa0\u2003\t\n\x1c\x85\u200b'é1", max_size=30)))
 def test_any_text_matches_the_library(text):
     own = bpe.tokenizer(PATH)
     got = own.encode(text)
@@ -63,3 +65,12 @@ def test_generations_keep_results():
     for k in "abcabdeafaaghia":
         assert table[k] == k.encode()
     assert len(table) <= 3 and asked.count("a") == 1
+
+
+def test_many_random_texts_beside_white_space():
+    rnd = random.Random(8)
+    letters = "aab. \xa0\u2003\t\n\r\x0b\x1c\x1f\x85\u200b\u3000\ufeff'sé1  "
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(1, 14))) for _ in range(100_000)]
+    own = bpe.tokenizer(PATH)
+    wrong = [t for t, e in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True) if own.encode(t) != np.array(e.ids, "<u4").tobytes()]
+    assert not wrong
