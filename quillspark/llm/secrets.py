@@ -12,11 +12,13 @@ Positions come from the pieces between matches: the start of a match is the leng
 pieces and matches before it, in code points.
 
 Documents are identified by a hash of id and text: rows that are equal share candidates,
-and a chance collision only adds a candidate to verify.
+and a chance collision only adds a candidate to verify.  The candidates' keys come to the
+texts by broadcast while there are few, so that texts move to no other task; beyond
+MOST_BROADCAST both sides are shuffled by key.
 
-Defined cases: null text counts as empty and has no span; repeated rows are each
-reported; matches of one kind never overlap, of different kinds may; an empty table gives
-no rows.
+Defined cases: null text counts as empty and has no span; a very long text is scanned
+whole; repeated rows are each reported; matches of one kind never overlap, of different
+kinds may; columns of any name may be kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm._shared import written
+
 MOST_STRINGS = 64
+#: Keys of candidates are broadcast up to so many.
+MOST_BROADCAST = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -158,11 +164,22 @@ def row_key(id_col: str, text: Column) -> Column:
     return F.xxhash64(F.col(id_col), text)
 
 
+def one_of(wanted: list[str]) -> str:
+    """An expression that stands at each place where a trigram of ``wanted`` begins and takes the trigram as its group."""
+    chars = lambda found: "[" + "".join(c if c.isalnum() else f"\\{c}" for c in sorted(found)) + "]"
+    thirds: dict[str, dict[str, set[str]]] = {}
+    for t in wanted:
+        thirds.setdefault(t[0], {}).setdefault(t[1], set()).add(t[2])
+    each = [re.escape(a) + "(?:" + "|".join(re.escape(b) + chars(c) for b, c in sorted(below.items())) + ")" for a, below in sorted(thirds.items())]
+    return f"(?={chars(thirds)})(?=({'|'.join(each)}))"
+
+
 def postings(docs: DataFrame, wanted: list[str], id_col: str, text: Column) -> DataFrame:
-    """trigram and key, for the trigrams ``wanted``."""
-    folded = F.lower(text)
-    held = F.array(*[F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in wanted])
-    return docs.select(row_key(id_col, text).alias("key"), F.explode(F.array_compact(held)).alias("trigram"))
+    """trigram and key, for the trigrams ``wanted``, found in one pass over a text."""
+    if not wanted:
+        return docs.select(row_key(id_col, text).alias("key"), F.lit("").alias("trigram")).limit(0)
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(one_of(wanted)), F.lit(1)))
+    return docs.select(row_key(id_col, text).alias("key"), F.explode(held).alias("trigram"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text: Column) -> DataFrame:
@@ -200,12 +217,27 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.when(F.size(found) > 0, kept).otherwise(none)
 
 
+def inside(head: str, run: str) -> bool:
+    """Whether every character that ``head``, of literals and sets of characters, can have is one of the class ``run``."""
+    for op, arg in _parser.parse(head):
+        found = [(op, arg)] if op is C.LITERAL else arg if op is C.IN else [(None, None)]
+        for kind, value in found:
+            chars = range(value[0], value[1] + 1) if kind is C.RANGE else [value] if kind is C.LITERAL else None
+            if chars is None or not all(re.fullmatch(run, chr(c)) for c in chars):
+                return False
+    return True
+
+
 def prefiltered(rule: Rule) -> str:
-    """The rule with its least length in place of +, where that finds the same matches: one run of characters at the end."""
-    head = re.fullmatch(r"(.*)\[[^\]]+\]\+", rule.pattern)
-    if rule.group == 0 and rule.least and head and not re.search(r"[+*?{(]", head[1].replace("\\.", "")):
-        width = len(re.sub(r"\[[^\]]+\]", "x", head[1]).replace("\\", ""))
-        return rule.pattern[:-1] + f"{{{rule.least - width},}}"
+    """The rule with its least length in place of +, where that finds the same matches.
+
+    That holds for a run of characters at the end if the head before it consists of
+    characters of the run: a match that is too short then holds no later head that leads
+    further than it does.
+    """
+    parts = re.fullmatch(r"(.*)(\[[^\]]+\])\+", rule.pattern)
+    if rule.group == 0 and rule.least and parts and inside(parts[1], parts[2]):
+        return rule.pattern[:-1] + f"{{{rule.least - len(_parser.parse(parts[1]))},}}"
     return rule.pattern
 
 
@@ -217,21 +249,23 @@ def of_rank(rank: int):
     return lambda s: s["rank"] == rank
 
 
-def scan(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``spans``: start, rank (the rule's number), kind and end of each match, in that order."""
+def scan(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", name: str = "spans") -> DataFrame:
+    """The columns ``keep`` and ``name``: start, rank (the rule's number), kind and end of each match, in that order."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = candidates(docs, rules, id_col, text).select(F.col("key").alias("c_key"), F.col("rules").alias("c_rules"))
-    rows = docs.select(*keep, text.alias("__text"), row_key(id_col, text).alias("__key"))
-    joined = rows.join(found, rows["__key"] == found["c_key"], "left")
+    found = written(candidates(docs, rules, id_col, text).select(F.col("key").alias("found_key"), "rules"), "secret_candidates")
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
+    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], text.alias("text"), row_key(id_col, text).alias("key"))
+    joined = rows.join(found, F.col("key") == F.col("found_key"), "left")
     filtered = trigram_queries(rules).keys()
-    text = F.col("__text")
+    text = F.col("text")
     spans = []
     for k, rule in enumerate(rules):
         own = F.transform(matches(text, Rule(rule.kind, prefiltered(rule), rule.group, rule.least)), named(k, rule.kind))
         if k in filtered:
-            own = F.when(F.array_contains("c_rules", k), own)
+            own = F.when(F.array_contains("rules", k), own)
         spans.append(F.coalesce(own, F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
-    return joined.select(*keep, F.array_sort(F.concat(*spans)).alias("spans"))
+    return joined.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.array_sort(F.concat(*spans)).alias(name))
 
 
 def described(spans: Column) -> Column:

@@ -17,7 +17,12 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold, learnt from all labels; null and empty texts stay."""
+    """Documents whose toxicity score is below the threshold, learnt from all labels.
+
+    Null and empty texts have no words and the score of a zero ratio: they stay where
+    toxic labels are rare; very long texts are scored whole; repeated rows share their
+    fate; an empty table gives no rows; columns of any name pass through.
+    """
     name = fresh(docs, "__score")
     scored = toxicity.score(docs, op4.classifier(spark, sf_dir, held=False), docs.columns, name=name)
     return scored.filter(F.col(name) < op4.THRESHOLD).drop(name)
@@ -33,22 +38,35 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with [SECRET] in place of each stretch that the secret scan finds; n_chars follows the text."""
-    names = docs.columns
-    found = secrets.scan(docs.select(*names), names)
-    spans = found["spans"]
-    clean = secrets.redacted(found["text"], spans)
-    out = found.withColumn("text", clean)
-    return out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*names)
+    """Every document, with [SECRET] in place of each stretch that the secret scan finds; n_chars follows the text.
+
+    Null and empty texts and texts without a secret stay as they are; very long texts are
+    scanned whole; repeated rows are each kept; an empty table gives no rows; columns of
+    any name pass through.
+    """
+    name = fresh(docs, "__spans")
+    found = secrets.scan(docs, docs.columns, name=name)
+    clean = secrets.redacted(F.col("text"), F.col(name))
+    changed = {"text": clean, "n_chars": F.when(F.size(name) > 0, F.length(clean).cast("bigint")).otherwise(F.col("n_chars"))}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes; documents of no copies go."""
+    """As many copies of each document as the mix takes; documents of no copies go.
+
+    Null and empty texts have no words and go; a null source is a source like any other;
+    repeated rows are taken alike; an empty table gives no rows; columns of any name pass
+    through.
+    """
     return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, and whether the ids decode to the text."""
+    """doc_id, source, n_tokens, ids, and whether the ids decode to the text.
+
+    A null or empty text has no ids; very long texts are encoded whole; repeated rows are
+    each encoded; an empty table gives no rows; other columns, of any name, are left out.
+    """
     import public_tokenizers
 
     fat_rows(spark)
