@@ -3,20 +3,23 @@
 A template is a licence notice as a list of words with a mandatory key phrase in it.  Its
 positional postings say at which offsets it has each word.  One pass over the documents
 keeps, of each, the number of words, which licence words it has, and, where all words of
-some key phrase are there, their positions.  Document frequencies of the licence words
-over all documents then name the rarest word of each key phrase; the file's places of
-these highest-IDF words are looked up in the postings, which gives candidate starts
-(place minus offset), all its licence words are intersected with the postings by relative
-position, and a template counts where every word of its key phrase stands at its place.
-Since every place of a phrase is a place of its rarest word, none is missed.
-
-Defined cases: null text counts as empty; repeated rows are each reported; several
-licences in one file are all found; an empty table gives no rows.
+some key phrase are there, the number of the licence word at each place.  Document
+frequencies of the licence words over all documents then name the rarest word of each key
+phrase, and only the file's places of these highest-IDF words are looked up in their
+postings, which gives candidate starts (place minus offset).  At a candidate start the
+other words of the key phrase are fetched by relative position; where all of them stand,
+the template counts, with the share of its notice's words in place.  Since every place of
+a phrase is a place of its rarest word, none is missed; a file's words stay in its row.
+
+Defined cases: null text counts as empty; a very long text is read whole; repeated rows
+are each reported; several licences in one file are all found; columns of any name may be
+kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,20 +79,20 @@ def strings(values: list[str]) -> Column:
 
 
 def indexed(docs: DataFrame, keep: list[str], templates: tuple[Template, ...], text_col: str = "text") -> DataFrame:
-    """The columns ``keep``, n_words, ``present`` (licence words in the file) and ``places`` (word, at) of them where they may match."""
+    """The columns ``keep`` as c0, c1, ..., n_words, ``present`` (licence words in the file) and ``codes``, where a key phrase may be.
+
+    A code is the number of a licence word in the vocabulary, from 1, and 0 for other words.
+    """
     listed = vocabulary(templates)
     words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORDS), F.lit(0))
-    rows = docs.select(*keep, words.alias("__words"))
-    rows = rows.select(*keep, "__words", F.array_intersect("__words", strings(listed)).alias("__present"))
+    kept = [f"c{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], words.alias("words"))
+    rows = rows.select(*kept, "words", F.array_intersect("words", strings(listed)).alias("present"))
     keys = {tuple(sorted(set(t.key.split()))) for t in templates}
-    complete = [F.size(F.array_intersect("__present", strings(list(k)))) == len(k) for k in sorted(keys)]
-    possible = F.size("__present") >= min(map(len, keys))
-    for_places = F.lit(False)
-    for c in complete:
-        for_places = for_places | c
-    at = F.transform("__words", lambda w, i: F.when(F.array_contains(strings(listed), w), F.struct(w.alias("word"), i.alias("at"))))
-    places = F.when(possible & for_places, F.filter(at, lambda x: x.isNotNull()))
-    return rows.select(*keep, F.size("__words").cast("bigint").alias("n_words"), F.col("__present").alias("present"), places.alias("places"))
+    possible = F.size("present") >= min(map(len, keys))
+    complete = reduce(Column.__or__, [F.size(F.array_intersect("present", strings(list(k)))) == len(k) for k in sorted(keys)])
+    codes = F.transform("words", lambda w: F.array_position(strings(listed), w).cast("smallint"))
+    return rows.select(*kept, F.size("words").cast("bigint").alias("n_words"), "present", F.when(possible & complete, codes).alias("codes"))
 
 
 def rarest(rows: DataFrame, templates: tuple[Template, ...]) -> list[str]:
@@ -99,28 +102,51 @@ def rarest(rows: DataFrame, templates: tuple[Template, ...]) -> list[str]:
     return [min(t.key.split(), key=lambda w: (df.get(w, 0), w)) for t in templates]
 
 
-def starts(rows: DataFrame, row: str, templates: tuple[Template, ...]) -> DataFrame:
-    """row, template (its number), start (of its key phrase) and share (of its words in place), where the key phrase is whole."""
-    spark = rows.sparkSession
-    seeds = rarest(rows, templates)
-    posted = [(w, k, i, i - t.key_at, t.key_at <= i < t.key_at + len(t.key.split()), w == seeds[k]) for k, t in enumerate(templates) for i, w in enumerate(t.words)]
-    postings = F.broadcast(spark.createDataFrame(posted, "p_word string, template int, offset int, rel int, in_key boolean, seed boolean"))  # fixed and small
-    sizes = F.broadcast(spark.createDataFrame([(k, len(t.words), len(t.key.split())) for k, t in enumerate(templates)], "s_template int, size int, key_size int"))
-    places = rows.filter("places is not null").select(row, F.explode("places").alias("p")).select(row, "p.word", "p.at")
-    voted = places.join(postings, F.col("word") == F.col("p_word")).select(row, "template", (F.col("at") - F.col("rel")).alias("start"), "in_key", "seed")
-    # a candidate start needs a vote of the rarest word of its key phrase
-    found = voted.groupBy(row, "template", "start").agg(F.count("*").alias("votes"), F.count_if("in_key").alias("key_votes"), F.bool_or(F.col("seed") & F.col("in_key")).alias("seeded")).filter("seeded")
-    whole = found.join(sizes, F.col("template") == F.col("s_template")).filter("key_votes = key_size")
-    return whole.select(row, "template", "start", (F.col("votes") / F.col("size")).alias("share"))
+def seed_places(codes: Column, seeds: list[int]) -> Column:
+    """code and place of the words of these codes."""
+    at = F.transform(codes, lambda c, i: F.when(F.array_contains(shorts(seeds), c), F.struct(c.alias("code"), i.alias("at"))))
+    return F.filter(at, lambda x: x.isNotNull())
+
+
+def shorts(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("smallint") for v in values])
+
+
+def matched(codes: Column, seeds: list[str], templates: tuple[Template, ...]) -> Column:
+    """start (of its key phrase), label, base and share of each template whose key phrase is whole, found from the ``seeds``, a word of each key phrase."""
+    number = {w: k for k, w in enumerate(vocabulary(templates), 1)}
+    posted: dict[int, list[tuple[int, int]]] = {}
+    for k, (t, seed) in enumerate(zip(templates, seeds, strict=True)):
+        posted.setdefault(number[seed], []).extend((k, i) for i, w in enumerate(t.key.split()) if w == seed)
+    postings = F.create_map(*[x for c, of in sorted(posted.items()) for x in (F.lit(c).cast("smallint"), F.array(*[F.struct(F.lit(k).alias("template"), F.lit(i).alias("offset")) for k, i in of]))])
+    facts = F.array(
+        *[
+            F.struct(
+                shorts([number[w] for w in t.key.split()]).alias("key"),
+                shorts([number[w] for w in t.words]).alias("words"),
+                F.lit(t.key_at).alias("key_at"),
+                F.lit(t.label).alias("label"),
+                F.lit(t.base).alias("base"),
+            )
+            for t in templates
+        ]
+    )
+    starts = F.transform(seed_places(codes, sorted(posted)), lambda s: F.transform(postings[s["code"]], lambda q: F.struct((s["at"] - q["offset"]).alias("start"), facts[q["template"]].alias("of"))))
+    whole = F.filter(F.array_distinct(F.flatten(starts)), lambda c: F.when(c["start"] >= 0, F.slice(codes, c["start"] + 1, F.size(c["of"]["key"])) == c["of"]["key"]).otherwise(F.lit(False)))
+
+    def notice(c: Column) -> Column:
+        in_place = F.transform(c["of"]["words"], lambda w, i: F.coalesce((F.get(codes, c["start"] - c["of"]["key_at"] + i) == w).cast("int"), F.lit(0)))
+        share = F.aggregate(in_place, F.lit(0), lambda a, x: a + x) / F.size(c["of"]["words"])
+        return F.struct(c["start"].alias("start"), c["of"]["label"].alias("label"), c["of"]["base"].alias("base"), share.alias("share"))
+
+    return F.array_sort(F.transform(whole, notice))
 
 
 def scan(docs: DataFrame, keep: list[str], templates: tuple[Template, ...] = TEMPLATES, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, n_words, and ``found``: start, label, base and share of each notice found, by start."""
-    numbered = indexed(docs, keep, templates, text_col).withColumn("__row", F.monotonically_increasing_id())
-    rows = written(numbered, "licence_words")
-    label = F.element_at(strings([t.label for t in templates]), F.col("template") + 1)
-    base = F.element_at(F.array(*[F.lit(t.base) for t in templates]), F.col("template") + 1)
-    found = starts(rows, "__row", templates).groupBy(F.col("__row").alias("__of")).agg(F.array_sort(F.collect_list(F.struct("start", label.alias("label"), base.alias("base"), "share"))).alias("found"))
-    joined = rows.join(found, rows["__row"] == found["__of"], "left")
+    rows = written(indexed(docs, keep, templates, text_col), "licence_words")
+    found = matched(F.col("codes"), rarest(rows, templates), templates)
     empty = F.array().cast("array<struct<start:int,label:string,base:boolean,share:double>>")
-    return joined.select(*keep, "n_words", F.coalesce("found", empty).alias("found"))
+    kept = [f"c{k}" for k in range(len(keep))]
+    done = rows.select(*kept, "n_words", F.coalesce(found, empty).alias("found"))
+    return done.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "n_words", "found")

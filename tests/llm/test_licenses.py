@@ -41,4 +41,19 @@ def test_rarest_words_and_empty(spark):
     rows = licenses.indexed(docs, ["doc_id"], licenses.TEMPLATES)
     assert licenses.rarest(rows, licenses.TEMPLATES)[:3] == ["mit", "apache", "general"]
     assert licenses.scan(docs.limit(0), ["doc_id"]).count() == 0
+    named = docs.selectExpr("doc_id", "text", "1 as c0", "2 as codes", "3 as words", "4 as present")
+    assert licenses.scan(named, ["doc_id", "codes", "words", "c0", "present"]).select("c0", "codes", "words", "present").distinct().collect() == [(1, 2, 3, 4)]
     assert all(t.words[t.key_at : t.key_at + len(t.key.split())] == t.key.split() for t in licenses.TEMPLATES)
+
+
+def test_only_places_of_the_rarest_words_meet_the_postings(spark):
+    rows = [(k, "the license and the public license of the general public " * 40 + ("general public license apache license" if k == 3 else "mit")) for k in range(10)]
+    found = licenses.indexed(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], licenses.TEMPLATES).filter("codes is not null")
+    seeds = licenses.rarest(found, licenses.TEMPLATES)
+    numbers = {w: k for k, w in enumerate(licenses.vocabulary(licenses.TEMPLATES), 1)}
+    F = licenses.F
+    one = found.select(F.sum(F.size(licenses.seed_places(F.col("codes"), [numbers[seeds[1]]]))).alias("rare"), F.sum(F.size(F.filter("codes", lambda c: c > 0))).alias("listed")).first()
+    assert seeds[1] == "apache" and one.rare == 1 and one.listed > 3000
+    # any word of a key phrase leads to the same matches
+    results = [sorted(map(str, found.select("c0", licenses.matched(F.col("codes"), [t.key.split()[at % len(t.key.split())] for t in licenses.TEMPLATES], licenses.TEMPLATES).alias("m")).collect())) for at in (0, 1, -1)]
+    assert results[0] == results[1] == results[2] and "apache" in results[0][3] and "gpl" in results[0][3]
