@@ -52,6 +52,15 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables of a row per key are broadcast up to so many rows.
+MOST_BROADCAST = 100_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table``, written and of a row per key, for a broadcast if it has few enough rows."""
+    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+
+
 def fat_rows(spark: SparkSession, rows: int = 2000) -> None:
     """Have the session send no more rows than this to a Python worker at once: for rows of whole texts or id lists."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -30,14 +30,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm._shared import WORD, written
+from quillspark.llm._shared import WORD, small, written
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
 #: A document's place is a number of so many bits, its range the upper ones of these.
 PLACE_BITS, RANGE_BITS = 48, 12
-#: Tables of a row per source are broadcast up to so many rows.
-MOST_BROADCAST = 100_000
 TOLERANCE = 1e-12
 
 
@@ -92,11 +90,6 @@ def place(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(7), *cols), 64 - PLACE_BITS)
 
 
-def small(table: DataFrame) -> DataFrame:
-    """``table``, of a row per source, for a broadcast if there are few enough sources."""
-    return F.broadcast(table) if table.count() <= MOST_BROADCAST else table
-
-
 def cuts(sized: DataFrame, rates: DataFrame) -> DataFrame:
     """source, source_size, target, ``whole`` and ``cut``: each document is taken ``whole`` times, and once more where its place is at most ``cut``."""
     # the tolerance of the dual must not push a rate of a whole number below it

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._shared import written
+from quillspark.llm._shared import small, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper")
 
@@ -156,7 +156,8 @@ def thresholds(measures: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
 def judge(measures: DataFrame, limits: DataFrame) -> DataFrame:
     """``measures`` with ``base_failed``, ``failed`` (array of the measures beyond their fence) and ``kept``."""
-    limits = limits.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{m}" for m in MEASURES])
+    # a row per language and source
+    limits = small(written(limits, "fences")).select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"max_{m}" for m in MEASURES])
     joined = measures.join(limits, measures["lang"].eqNullSafe(F.col("t_lang")) & measures["source"].eqNullSafe(F.col("t_source")), "left")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.filter(F.array(*[F.when(share(m) > F.col(f"max_{m}"), F.lit(m)) for m in MEASURES]), lambda x: x.isNotNull())
