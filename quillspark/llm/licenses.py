@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm._shared import lower_ascii, written
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ def indexed(docs: DataFrame, keep: list[str], templates: tuple[Template, ...], t
     A code is the number of a licence word in the vocabulary, from 1, and 0 for other words.
     """
     listed = vocabulary(templates)
-    words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORDS), F.lit(0))
+    words = F.array_remove(F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), GAPS), "")
     kept = [f"c{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], words.alias("words"))
     rows = rows.select(*kept, "words", F.array_intersect("words", strings(listed)).alias("present"))
