@@ -2,41 +2,49 @@
 
 Terms are the distinct lower-case words of a text.  The lexicon holds the terms whose
 document frequency lies in a band of shares of all documents, that is, an inverse document
-frequency band; at most (words of a document) / LOW terms can, whatever the size of the
-corpus.  They are held as a bitmap of fixed size, a constant of the plan, that also lets
-pass about one in 250 of the other terms (with 30,000 in the lexicon), in all texts alike.
+frequency band; at most (distinct terms of a document) / LOW terms can, whatever the size
+of the corpus.  They are held as a constant of the plan, a table in which each term has
+one of PROBES slots, so that a term is looked up in a few steps and no other term passes
+(but for equal 64-bit hashes).
 
 A fingerprint hashes the sorted terms of the lexicon that a text has, and those of several
 randomised lexicons: COPIES times, LEVELS lexicons, each a random half of the one before.
 The large ones tell texts apart by a single term, the small ones, in which a text has a
 term or two, often survive an edit.  The likeness of two fingerprints is the share of
-lexicons with equal hashes among those in which either text has a term.
+copies that agree on the smallest lexicon in which either text has a term, so about the
+share of terms that the texts have in common.
 
-Defined cases: null text counts as empty; a text without a term of the lexicon is hashed
-by all its terms; equal texts have equal fingerprints, the likeness of equal ones is 1;
-repeated rows are each reported; an empty table gives no rows.
+Defined cases: null text counts as empty; a very long text is read whole; a text without
+a term of the lexicon is hashed by all its terms; equal texts have equal fingerprints, the
+likeness of equal ones is 1; repeated rows are each reported; columns of any name may be
+kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import random
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm._shared import written
 
-WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Document frequencies of the lexicon's terms, as shares of all documents; and at least so many documents.
 LOW, HIGH, LEAST = 0.002, 0.05, 2
-#: The lexicon is a bitmap of so many bits, in which each of its terms sets PROBES.
-BITMAP_BITS, PROBES = 20, 2
+#: Slots in which a term of the lexicon may stand.
+PROBES = 3
 COPIES, LEVELS = 8, 8
 SEED = 11
 
 
 def terms(text: Column) -> Column:
     """Hashes of the terms of a text, repeats included."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
-    return F.transform(words, lambda w: F.xxhash64(F.lit(SEED), w))
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS)
+    return F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(F.lit(SEED), w))
 
 
 def frequencies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -45,44 +53,60 @@ def frequencies(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, least: int = LEAST) -> DataFrame:
-    """The lexicon's bitmap as place and bits of each 64-bit word that is not 0."""
+    """term, for each term of the band."""
     n = docs.count()
-    band = frequencies(docs, text_col).filter((F.col("df") >= max(least, low * n)) & (F.col("df") <= max(least, high * n)))
-    probes = F.explode(F.array(*[F.struct(place("term", k).alias("place"), bit("term", k).alias("bit")) for k in range(PROBES)]))
-    marked = band.select(probes.alias("p")).select("p.place", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("p.bit")).alias("mask"))
-    return marked.groupBy("place").agg(F.bit_or("mask").alias("bits"))
+    return frequencies(docs, text_col).filter((F.col("df") >= max(least, low * n)) & (F.col("df") <= max(least, high * n))).select("term")
 
 
-def place(term, probe: int) -> Column:
-    """The word of the bitmap in which a term's probe lies: BITMAP_BITS - 6 bits of its hash."""
-    return F.shiftrightunsigned(term, 64 - BITMAP_BITS * (probe + 1) + 6).bitwiseAND(F.lit((1 << BITMAP_BITS - 6) - 1).cast("bigint")).cast("int")
+def slot(term: Column, probe: int, bits: int) -> Column:
+    """A slot of a term in a table of 2^bits: other bits of its hash for each probe while these last, else a further hash."""
+    if bits * PROBES <= 64:
+        return F.shiftrightunsigned(term, 64 - bits * (probe + 1)).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
+    return F.xxhash64(F.lit(probe), term).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
 
 
-def bit(term, probe: int) -> Column:
-    return F.shiftrightunsigned(term, 64 - BITMAP_BITS * (probe + 1)).bitwiseAND(F.lit(63).cast("bigint")).cast("int")
+@dataclass
+class Lexicon:
+    bits: int
+    table: Column  # array of 2^bits terms, 0 where a slot is free
 
+    def has(self, term: Column) -> Column:
+        return reduce(Column.__or__, [self.table[slot(term, k, self.bits)] == term for k in range(PROBES)])
 
-def lexicon_table(rows: DataFrame) -> Column:
-    """The bitmap as a constant array."""
-    words = [0] * (1 << BITMAP_BITS - 6)
-    for r in rows.collect():  # no more than a row per word of the bitmap
-        words[r.place] = r.bits
-    return F.expr("array(" + ",".join(f"{w}L" if w > -(1 << 63) else "(-9223372036854775807L - 1L)" for w in words) + ")")
 
+def lexicon_table(rows: DataFrame) -> Lexicon:
+    """The terms of ``rows``, no more than the band can have, as a constant."""
+    bits = max(6, (2 * rows.count()).bit_length())
+    listed = rows.filter("term <> 0").select("term", *[slot(F.col("term"), k, bits).alias(f"s{k}") for k in range(PROBES)]).orderBy("term").collect()
+    table = placed([r[0] for r in listed], [r[1:] for r in listed], 1 << bits)
+    # one string that the optimizer turns into an array once, not a node of the plan for each slot
+    return Lexicon(bits, F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>"))
 
-def held(found: Column, table: Column) -> Column:
-    """Those of the terms that the lexicon has."""
 
-    def known(t: Column) -> Column:
-        first, *more = [F.getbit(table[place(t, k)], bit(t, k)) == 1 for k in range(PROBES)]
-        for m in more:
-            first = first & m
-        return first
+def placed(terms_: list[int], slots: list[tuple[int, ...]], size: int) -> list[int]:
+    """A table with each term in one of its slots; a term that finds none free takes one from another, which moves on."""
+    owner = [-1] * size
+    rnd = random.Random(SEED)
+    for first in range(len(terms_)):
+        k = first
+        for _ in range(10_000):
+            free = [s for s in slots[k] if owner[s] < 0]
+            if free:
+                owner[free[0]] = k
+                break
+            s = rnd.choice(slots[k])
+            owner[s], k = k, owner[s]
+        else:
+            raise RuntimeError("the terms of the lexicon found no place in a table of twice their number")
+    return [terms_[k] if k >= 0 else 0 for k in owner]
+
 
-    return F.filter(found, known)
+def held(found: Column, table: Lexicon) -> Column:
+    """Those of the terms that the lexicon has."""
+    return F.filter(found, table.has)
 
 
-def hashes(found: Column, table: Column) -> Column:
+def hashes(found: Column, table: Lexicon) -> Column:
     """The hash of each lexicon's sorted terms among ``found``, 0 where there is none; the whole lexicon first."""
 
     def of_lexicons(own: Column) -> Column:
@@ -108,10 +132,18 @@ def halved(copy: int):
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the lexicons in which either text has terms."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: ((x == y) & (x != 0)).cast("int")), F.lit(0), lambda s, x: s + x)
-    any_ = F.aggregate(F.zip_with(a, b, lambda x, y: ((x != 0) | (y != 0)).cast("int")), F.lit(0), lambda s, x: s + x)
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(same.cast("double"), any_.cast("double")), F.lit(0.0)))
+    """Share of copies that agree on their smallest lexicon in which either text has a term."""
+    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
+
+    def agrees(copy: int) -> Column:
+        # of a copy's pairs, largest lexicon first, the last one that is not 0 on both sides
+        own = F.filter(F.slice(pairs, 2 + copy * LEVELS, LEVELS), lambda x: (x["a"] != 0) | (x["b"] != 0))
+        last = F.try_element_at(own, F.lit(-1))
+        return F.when(last.isNotNull(), (last["a"] == last["b"]).cast("int"))
+
+    votes = F.array_compact(F.array(*[agrees(c) for c in range(COPIES)]))
+    share = F.try_divide(F.aggregate(votes, F.lit(0), lambda s, x: s + x).cast("double"), F.size(votes).cast("double"))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
 def printed(found: Column) -> Column:
@@ -122,4 +154,6 @@ def printed(found: Column) -> Column:
 def fingerprint(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and ``hashes`` of each text."""
     table = lexicon_table(written(lexicon(docs, text_col), "lexicon"))
-    return docs.select(*keep, hashes(terms(F.col(text_col)), table).alias("hashes"))
+    kept = [f"c{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], hashes(terms(F.col(text_col)), table).alias("hashes"))
+    return rows.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "hashes")
