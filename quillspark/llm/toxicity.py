@@ -23,8 +23,8 @@ passage in a very long text is found and length alone raises nothing.  The windo
 ``WINDOWS``, and a logistic curve (with one bend) that gives 0 to 1 are fitted to one
 labelled row in SET_ASIDE, scored by a model that has not seen it.
 
-Counts cover every labelled row and stay in tables; the probabilities of an order are a
-join with those of the order below.  Up to BLOCK grams go to the workers at once; a larger
+Counts cover every labelled row and stay in tables; the probabilities of grams are computed
+where they meet their suffixes, with which they share the last bytes.  Up to BLOCK grams go to the workers at once; a larger
 model is applied block by block, each adding to the words' ratios, with the same result.
 
 Defined cases: null and empty texts have no words and get the score of a zero ratio; a
@@ -43,13 +43,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm._shared import drop_written, written
+from quillspark.llm.simhash import runs_of
 
 #: Bytes of a gram, the last one given the others; a gram is held as one 64-bit number.
 ORDER = 7
@@ -57,6 +57,8 @@ WINDOWS = (1, 2, 4, 8, 16, 32)
 DISCOUNT = 3.0
 #: A word's ratio stays within this, so that no single expression outweighs a passage without bound.
 CLIP = 12.0
+#: Grams of up to so many bytes have their probabilities computed in one place; longer ones where their last bytes meet.
+SHORT = 2
 #: Grams that are broadcast at once.
 BLOCK = 4_000_000
 #: Labels up to this many are joined by broadcast, more by a shuffle.
@@ -77,6 +79,9 @@ WHOLE = 1
 COUNTS = [f"{c}{m}" for m in range(len(SIDES)) for c in "to"]
 
 
+Table = tuple[np.ndarray, np.ndarray]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(SPLIT).split()
 
@@ -158,28 +163,43 @@ def counted(grams: DataFrame) -> DataFrame:
     return grams.unionByName(kinds).withColumn("order", bytes_)
 
 
-def probabilities(table: DataFrame, k: int, below: DataFrame | None) -> DataFrame:
-    """code, p_ (of each class and model), d_ (of each model: what the gram adds to its suffix's ratio) and whether it is ``held``.
+def probabilities(facts: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Probabilities of grams of one order in each class and model, from the counts, sum_ and kept_ of each and the probabilities of their suffixes."""
+    n, sums, kept = np.split(facts, 3, axis=1)
+    with np.errstate(all="ignore"):
+        left = np.where(sums > 0, 1 - kept / sums, 1.0)
+        share = np.where(kept > 0, np.maximum(n - DISCOUNT, 0.0) / kept, 0.0)
+    rest = np.maximum(left[:, 0::2], left[:, 1::2]).repeat(2, axis=1)
+    return (1 - rest) * share + rest * low
+
 
-    ``table`` has the grams of order ``k`` with sum_ and kept_, the sums of their history's
-    counts before and after the discount; ``below`` are the probabilities of the order
-    below; below the first is the share of a byte among both classes' counts.
+def added(p: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What grams add to their suffixes' ratios in each model; a model that has not seen a byte says nothing of it."""
+    with np.errstate(all="ignore"):
+        ratio, below = (np.where((x[:, 0::2] > 0) & (x[:, 1::2] > 0), np.log(x[:, 0::2] / x[:, 1::2]), 0.0) for x in (p, low))
+    return ratio - below
+
+
+def chained(codes: np.ndarray, facts: np.ndarray, below: Table, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each order from ``first`` on: codes, sorted, their probabilities, what they add, and whether they are held.
+
+    ``below`` are the codes, sorted, and probabilities of the order before; all suffixes are there.
     """
-    kept = {n: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) for n in COUNTS}
-    rows = table
-    if below is None:
-        low = {f"{c}{m}": F.try_divide((F.col(f"t{m}") + F.col(f"o{m}")).cast("double"), F.col(f"sum_t{m}") + F.col(f"sum_o{m}")) for m in range(len(SIDES)) for c in "to"}
-    else:
-        rows = rows.join(below.select(F.col("code").alias("low_code"), *[F.col(f"p_{n}").alias(f"low_{n}") for n in COUNTS]), last_bytes(F.col("code"), k - 1) == F.col("low_code"))
-        low = {n: F.col(f"low_{n}") for n in COUNTS}
-    left = {n: F.coalesce(1 - F.try_divide(F.col(f"kept_{n}"), F.col(f"sum_{n}")), F.lit(1.0)) for n in COUNTS}
-    rest = [F.greatest(left[f"t{m}"], left[f"o{m}"]) for m in range(len(SIDES))]
-    p = {n: (1 - rest[int(n[1:])]) * F.coalesce(F.try_divide(kept[n], F.col(f"kept_{n}")), F.lit(0.0)) + rest[int(n[1:])] * low[n] for n in COUNTS}
-    rows = rows.select("code", F.greatest(*[F.col(n) for n in COUNTS]).alias("most"), *[low[n].alias(f"l_{n}") for n in COUNTS], *[p[n].alias(f"p_{n}") for n in COUNTS])
-    # a model that has not seen a byte says nothing of it
-    ratio = lambda x, m: F.coalesce(F.ln(F.try_divide(F.col(f"{x}_t{m}"), F.col(f"{x}_o{m}"))), F.lit(0.0))
-    adds = [(ratio("p", m) - ratio("l", m)).cast("float").alias(f"d{m}") for m in range(len(SIDES))]
-    return rows.select("code", *[f"p_{n}" for n in COUNTS], *adds, (F.col("most") > DISCOUNT).alias("held"))
+    for k in range(first, last + 1):
+        rows = np.flatnonzero((codes >= np.uint64(1 << 8 * (k - 1))) & (codes < np.uint64(1 << 8 * k)))
+        rows = rows[np.argsort(codes[rows])]
+        if k == 1:
+            both = facts[rows][:, 0 : 2 * len(SIDES) : 2] + facts[rows][:, 1 : 2 * len(SIDES) : 2]
+            low = (both / np.maximum(both.sum(axis=0), 1)).repeat(2, axis=1)
+        else:
+            low = below[1][np.searchsorted(below[0], codes[rows] & np.uint64((1 << 8 * (k - 1)) - 1))] if len(rows) else np.zeros((0, 2 * len(SIDES)))
+        p = probabilities(facts[rows], low)
+        below = (codes[rows], p)
+        yield codes[rows], p, added(p, low), facts[rows][:, : 2 * len(SIDES)].max(axis=1, initial=0) > DISCOUNT
+
+
+def facts_of(columns: list[pa.ChunkedArray] | list[pa.Array]) -> np.ndarray:
+    return np.stack([c.to_numpy().astype(float) for c in columns], axis=1) if columns else np.zeros((0, 3 * 2 * len(SIDES)))
 
 
 def with_history(grams: DataFrame) -> DataFrame:
@@ -189,12 +209,9 @@ def with_history(grams: DataFrame) -> DataFrame:
     return grams.join(sums, F.shiftright("code", 8) == F.col("h")).drop("h")
 
 
-Table = tuple[np.ndarray, np.ndarray]
-
-
 def hashed(codes: np.ndarray, adds: np.ndarray) -> Table:
     """An open hash table of the codes, 0 where a slot is free, and what is added for each slot."""
-    bits = max(4, int(4 * len(codes)).bit_length())
+    bits = max(4, (2 * len(codes)).bit_length())
     slots, values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
     left, at = np.arange(len(codes)), slot(codes, bits)
     while len(left):
@@ -227,18 +244,22 @@ def found(codes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Model:
-    """code and d0, d1, ... of each gram held, and their number."""
+    """code and d0, d1, ... of each gram held of more than SHORT bytes, their number, and the shorter grams."""
 
     table: DataFrame
     n: int
+    short: Table
 
     def blocks(self, number: int) -> Iterator[Table]:
         """A hash table of what grams add in the model of that number, BLOCK grams or about as many at a time."""
         n_blocks = max(1, -(-self.n // BLOCK))
         for b in range(n_blocks):
             # no more than a block comes to the driver
-            rows = self.table.filter(F.pmod(F.xxhash64("code"), F.lit(n_blocks)) == b).select("code", f"d{number}").toPandas()
-            yield hashed(rows["code"].to_numpy(np.int64).view(np.uint64), rows[f"d{number}"].to_numpy(np.float32))
+            rows = self.table.filter(F.pmod(F.xxhash64("code"), F.lit(n_blocks)) == b).select("code", f"d{number}").toArrow()
+            codes, adds = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+            if b == 0:
+                codes, adds = np.concatenate([codes, self.short[0]]), np.concatenate([adds, self.short[1][:, number]])
+            yield hashed(codes, adds)
 
 
 def build(words: DataFrame, n_classes: int = 4) -> Model:
@@ -246,14 +267,26 @@ def build(words: DataFrame, n_classes: int = 4) -> Model:
     grams = written(gram_counts(words, n_classes), "grams")
     every = written(counted(grams), "orders")
     ready = written(with_history(every), "histories")
-    parts, below = [], None
-    for k in range(1, ORDER + 1):
-        below = written(probabilities(ready.filter(F.col("order") == k), k, below), f"probabilities-{k}")
-        parts.append(below.filter("held").select("code", *[f"d{m}" for m in range(len(SIDES))]))
-    held = written(reduce(DataFrame.unionByName, parts), "model")
+    names = [*COUNTS, *[f"sum_{n}" for n in COUNTS], *[f"kept_{n}" for n in COUNTS]]
+    # no more than there are strings of SHORT bytes
+    short = ready.filter(F.col("order") <= SHORT).select("code", *names).toArrow()
+    parts = list(chained(short.column(0).to_numpy().view(np.uint64), facts_of(short.columns[1:]), (np.zeros(0, np.uint64), np.zeros((0, 2 * len(SIDES)))), 1, SHORT))
+    below = ready.sparkSession.sparkContext.broadcast((parts[-1][0], parts[-1][1]))
+    schema = T._parse_datatype_string("code bigint, " + ", ".join(f"d{m} float" for m in range(len(SIDES))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (_, code, *columns) in runs_of(batches):
+            for codes, _, adds, held in chained(code.to_numpy().view(np.uint64), facts_of(columns), below.value, SHORT + 1, ORDER):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[held].view(np.int64)), *[pa.array(adds[held, m].astype(np.float32)) for m in range(len(SIDES))]], schema.names)
+
+    # a gram and its suffixes have the last bytes in common
+    n_parts = int(ready.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    longer = ready.filter(F.col("order") > SHORT).select(last_bytes(F.col("code"), SHORT + 1).alias("key"), "code", *names)
+    table = written(longer.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(run, schema), "model")
     for t in (grams, every, ready):
         drop_written(t)
-    return Model(held, held.count())
+    own = [(codes[held], adds[held].astype(np.float32)) for codes, _, adds, held in parts]
+    return Model(table, table.count(), (np.concatenate([c for c, _ in own]), np.concatenate([a for _, a in own])))
 
 
 def word_ratios(words: list[bytes], table: Table) -> np.ndarray:
@@ -334,13 +367,12 @@ def rated(source: DataFrame, kept: list[str], block: Table, first: bool, last: b
     return source.mapInArrow(run, schema)
 
 
-def curve(bins: pd.DataFrame, bend: float = math.inf, penalty: float = 0.02) -> tuple[tuple[float, float, float], float]:
-    """Slope, intercept and further slope above ``bend`` of a logistic curve through binned scores (passage, toxic, n), and its log-loss."""
-    if not len(bins) or bins["toxic"].nunique() < 2:
-        n = float(bins["n"].sum()) if len(bins) else 0.0
-        share = float((bins["toxic"] * bins["n"]).sum() / n) if n else 0.0
+def curve(bins: np.ndarray, bend: float = math.inf, penalty: float = 0.02) -> tuple[tuple[float, float, float], float]:
+    """Slope, intercept and further slope above ``bend`` of a logistic curve through binned scores (rows of passage, toxic, n), and its log-loss."""
+    x, y, w = bins.T
+    if len(np.unique(y)) < 2:
+        share = float((y * w).sum() / w.sum()) if len(w) else 0.0
         return (0.0, math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0), 0.0
-    x, y, w = (bins[c].to_numpy(float) for c in ("passage", "toxic", "n"))
     scale = max(float(np.sqrt(np.average((x - np.average(x, weights=w)) ** 2, weights=w))), 1e-6)
     features = np.stack([x / scale, np.ones(len(x)), np.maximum(x - bend, 0.0) / scale], axis=1)
     beta, ridge = np.zeros(3), np.array([penalty, 1e-9, penalty])
@@ -358,12 +390,13 @@ def curve(bins: pd.DataFrame, bend: float = math.inf, penalty: float = 0.02) ->
     return (float(beta[0] / scale), float(beta[1]), float(beta[2] / scale)), loss if rises or math.isinf(bend) else math.inf
 
 
-def curves(bins: pd.DataFrame) -> tuple[tuple[float, float, float], float, float]:
+def curves(bins: np.ndarray) -> tuple[tuple[float, float, float], float, float]:
     """The best curve over bends at the tenths of the toxic scores, its bend (infinite: none) and its log-loss."""
-    toxic = bins[bins["toxic"] == 1] if len(bins) else bins
-    spread = np.repeat(toxic["passage"].to_numpy(float), toxic["n"].to_numpy(np.int64)) if len(toxic) else np.zeros(0)
-    bends = [math.inf, *sorted(set(np.quantile(spread, np.arange(1, 10) / 10).tolist()))] if len(spread) else [math.inf]
-    (line, loss), bend = min(((curve(bins, b), b) for b in bends), key=lambda f: f[0][1])
+    toxic = bins[bins[:, 1] == 1]
+    toxic = toxic[np.argsort(toxic[:, 0])]
+    upto = np.cumsum(toxic[:, 2])
+    bends = {float(toxic[np.searchsorted(upto, upto[-1] * k / 10), 0]) for k in range(1, 10)} if len(toxic) else set()
+    (line, loss), bend = min(((curve(bins, b), b) for b in (math.inf, *sorted(bends))), key=lambda f: f[0][1])
     return line, bend, loss
 
 
@@ -392,8 +425,9 @@ def fit(training: DataFrame) -> Classifier:
     model = build(written(word_counts(rows.withColumn("class", (F.col("aside") * 2 + F.col("toxic")).cast("int")), "text", "class", 4), "words"))
     scored = passages(rows.filter("aside = 1"), ["toxic"], "text", model, 0)
     each = scored.select(F.col("c0").alias("toxic"), F.posexplode("passages").alias("window", "passage"))
-    bins = each.groupBy("window", F.round("passage", 2).alias("passage"), "toxic").agg(F.count("*").alias("n")).toPandas()
-    fits = [(*curves(bins[bins["window"] == k]), k) for k in range(len(WINDOWS))]
+    bins = each.groupBy("window", F.round("passage", 2).alias("passage"), "toxic").agg(F.count("*").alias("n")).collect()
+    # no more rows than ratios have hundredths
+    fits = [(*curves(np.array([r[1:] for r in bins if r.window == k], float).reshape(-1, 3)), k) for k in range(len(WINDOWS))]
     (slope, intercept, more), bend, _, window = min(fits, key=lambda f: (f[2], f[3]))
     return Classifier(model, window, slope, intercept, more, bend)
 
