@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word (letters, digits, underscore, inner apostrophes) or a single other character that is no space.
-TOKEN = r"[\p{L}\p{N}_]+(?:['’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
+#: A word is of letters, digits and underscores with inner apostrophes; any other character that is no space is a token of its own.
+WORD = r"\p{L}\p{N}_"
+SPACES = r"[ \t\n\x0B\f\r]+"
+LOOSE = rf"['’](?![{WORD}])|(?<![{WORD}])['’]"
+SINGLE = rf"[^{WORD}'’ \t\n\x0B\f\r]|{LOOSE}"
+#: What stands between words of one sentence.
+GAPS = rf"(?:[^{WORD}'’]++|{LOOSE})++"
 LEXICAL = r"[\p{L}\p{N}]"
 #: A space after a token that is one of the enders.
 SENTENCE_BREAK = r"(?<=(?:^| )[.!?]) "
@@ -14,7 +19,9 @@ BOUNDARY, START, STOP = "<b>", "<s>", "</s>"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    """All tokens in order; splitting between them is several times as fast as extracting them."""
+    spaced = F.regexp_replace(F.coalesce(text, F.lit("")), SINGLE, " $0 ")
+    return F.array_remove(F.split(spaced, SPACES), "")
 
 
 def lexical(token: Column) -> Column:
@@ -23,11 +30,12 @@ def lexical(token: Column) -> Column:
 
 
 def sentence_arrays(text: Column, lower: bool = True) -> Column:
-    """The lexical tokens of each sentence; a sentence ends after a token ``.``, ``!`` or ``?``."""
-    pieces = F.split(F.array_join(tokens(text), " "), SENTENCE_BREAK, -1)
+    """The lexical tokens of each sentence; a sentence ends after a token ``.``, ``!`` or ``?``, which no word holds."""
+    pieces = F.split(F.coalesce(text, F.lit("")), "[.!?]", -1)
 
     def of(piece: Column) -> Column:
-        kept = F.filter(F.split(piece, " "), lexical)
+        # without an underscore a word has a letter or digit
+        kept = F.filter(F.array_remove(F.split(piece, GAPS), ""), lambda w: ~F.contains(w, F.lit("_")) | lexical(w))
         return F.transform(kept, F.lower) if lower else kept
 
     return F.transform(pieces, of)

@@ -11,7 +11,7 @@ from quillspark.storage import materialized, table
 
 ORDER = 3
 #: Terms of the deletion index occur at least so often.
-INDEXED = 5
+INDEXED = 2
 
 TOKENS = r"[\p{L}\p{N}_]+(?:[''’][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
 SENTENCES = rf"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import editing
 from quillspark.functions.hashing import hash60
+from quillspark.functions.normalize import plain_text
 from quillspark.functions.tokens import tokens
 from quillspark.operators import curation as cu
 from quillspark.operators import evaluation as ev
@@ -27,14 +28,14 @@ def token_compatible(spark, sf_dir):
 
 
 def zero_click_counts(spark, sf_dir):
-    log = lines(spark, sf_dir).select("line", F.lower(F.substring_index("line", " ", 3)).alias("k"), (F.col("doc_id") * 100_000 + F.col("line_no")).alias("at"))
+    log = lines(spark, sf_dir).select("line", F.lower("line").alias("k"), (F.col("doc_id") * 100_000 + F.col("line_no")).alias("at"))
     return cu.zero_click(log, "line", F.col("k"), "at")
 
 
 def unique_match(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.substring(F.lower("p_name"), 1, 6).alias("folded"))
-    queries = gold(spark, sf_dir).select("query_id", F.substring("input", 1, 6).alias("folded"))
-    return cu.unique_match(queries, names, "folded").select("query_id", "target")
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lower("p_name").alias("folded"))
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.lower(F.upper("p_name")).alias("folded"))
+    return cu.unique_match(asked, names, "folded").select("query_id", "target")
 
 
 def blocked_match(spark, sf_dir):
@@ -45,7 +46,7 @@ def blocked_match(spark, sf_dir):
 
 def clear_winner(spark, sf_dir):
     vocab = materialized(pc.vocabulary(spark, sf_dir), "vocabulary")
-    offers = vocab.select(F.substring("term", 1, 4).alias("token"), "term", F.col("count").alias("frequency"))
+    offers = vocab.select(plain_text(F.col("term")).alias("token"), "term", F.col("count").alias("frequency"))
     return cu.clear_winner(offers, "token", "frequency")
 
 
@@ -112,12 +113,12 @@ _WORDS = r"len(list_filter(regexp_split_to_array({c}, '[ \t\n\x0B\f\r]+'), lambd
 SQL = {
     "safe_queries": rf"WITH {_RAW_LINES} SELECT doc_id, count(*) FILTER (WHERE length(line) <= 100 AND NOT regexp_matches(line, '(^|[^0-9])(\+?84|0)([ .\-]?[0-9]){{8,10}}([^0-9]|$)') AND NOT regexp_matches(line, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}')) AS safe, count(*) AS n FROM ln GROUP BY doc_id",
     "token_compatible": f"WITH {GOLD} SELECT error_type, count(*) AS n, count(*) FILTER (WHERE {_WORDS.format(c='output')} > 0 AND {_WORDS.format(c='output')} = {_WORDS.format(c='expected')}) AS kept FROM pred GROUP BY error_type",
-    "zero_click_counts": f"WITH {_RAW_LINES} SELECT lower(array_to_string(string_split(line, ' ')[1:3], ' ')) AS key, count(*) AS frequency, arg_min(line, doc_id * 100000 + line_no) AS form FROM ln GROUP BY 1",
-    "unique_match": f"WITH {GOLD}, n AS (SELECT substr(lower(p_name), 1, 6) AS f, min(p_name) AS target FROM part GROUP BY 1 HAVING count(DISTINCT p_name) = 1) SELECT query_id, target FROM gold JOIN n ON substr(input, 1, 6) = f",
+    "zero_click_counts": f"WITH {_RAW_LINES} SELECT lower(line) AS key, count(*) AS frequency, arg_min(line, doc_id * 100000 + line_no) AS form FROM ln GROUP BY 1",
+    "unique_match": "WITH n AS (SELECT lower(p_name) AS f, min(p_name) AS target FROM part GROUP BY 1 HAVING count(DISTINCT p_name) = 1) SELECT p_partkey AS query_id, target FROM part JOIN n ON lower(upper(p_name)) = f",
     "blocked_match": f"""WITH {GOLD}, q AS (SELECT DISTINCT input AS query FROM gold), n AS (SELECT DISTINCT lower(p_name) AS name FROM part),
 m AS (SELECT query, name, 1 - levenshtein(query, name) / greatest(length(query), length(name)) AS score FROM q JOIN n ON substr(query, 1, 3) = substr(name, 1, 3) AND abs(length(query) // 5 - length(name) // 5) <= 1),
 r AS (SELECT *, row_number() OVER w AS k, score - coalesce(lead(score) OVER w, 0) AS gap FROM m WINDOW w AS (PARTITION BY query ORDER BY score DESC, name)) SELECT query, name, round(score, 6) AS score, round(gap, 6) AS gap FROM r WHERE k = 1 AND score >= 0.85 AND gap >= 0.03""",
-    "clear_winner": f"""WITH {pc.SENTENCES}, r AS (SELECT substr(term, 1, 4) AS token, term, count AS frequency, row_number() OVER w AS k, coalesce(lead(count) OVER w, 0) AS rival FROM vocab WINDOW w AS (PARTITION BY substr(term, 1, 4) ORDER BY count DESC, term))
+    "clear_winner": f"""WITH {pc.SENTENCES}, r AS (SELECT replace(strip_accents(term), 'đ', 'd') AS token, term, count AS frequency, row_number() OVER w AS k, coalesce(lead(count) OVER w, 0) AS rival FROM vocab WINDOW w AS (PARTITION BY replace(strip_accents(term), 'đ', 'd') ORDER BY count DESC, term))
 SELECT token, term, frequency, rival FROM r WHERE k = 1 AND frequency >= 50 AND frequency >= 5 * rival""",
     "held_out_runs": f"WITH {pc.SENTENCES}, s AS (SELECT doc_id, chr(1) || array_to_string(list_transform(ts, lambda t: lower(t)), chr(1)) || chr(1) AS x FROM raw) SELECT doc_id FROM s WHERE contains(x, chr(1) || 'all' || chr(1) || 'rights' || chr(1) || 'reserved' || chr(1)) OR contains(x, chr(1) || 'mit' || chr(1) || 'license' || chr(1))",
     "adjacent_removed": f"WITH {_RAW_LINES} SELECT doc_id, line_no, len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) AS removed FROM l WHERE len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) > 0",

@@ -62,9 +62,9 @@ def nested_subsets(spark, sf_dir):
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of the documents' lines as query keys with their frequency."""
+    """The documents' lines as query keys with their frequency."""
     line = F.explode(F.split(F.lower("text"), "\n"))
-    rows = docs(spark, sf_dir).select(line.alias("line")).select(F.substring_index("line", " ", 2).alias("key"))
+    rows = docs(spark, sf_dir).select(line.alias("line")).select(F.col("line").alias("key"))
     return rows.filter("key <> ''").groupBy("key").agg(F.count("*").alias("frequency"))
 
 
@@ -151,7 +151,7 @@ SQL = {
     "topped_up_sample": f"""WITH r AS (SELECT doc_id, lang, {_h('seed-4', _ID)} AS priority FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY priority, doc_id) AS n FROM r)
 SELECT doc_id, lang, priority FROM n ORDER BY n <= CASE WHEN lang IN ('de', 'en') THEN 108 ELSE 107 END DESC, priority, doc_id LIMIT 430""",
     "nested_subsets": f"WITH n AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_h('seed-5', _ID)}, doc_id) AS n FROM labels) SELECT doc_id, quality, CASE WHEN n <= 10 THEN 10 WHEN n <= 25 THEN 25 ELSE 50 END AS subset FROM n WHERE n <= 50",
-    "strata_queue": f"""WITH {_LINES}, w AS (SELECT string_split(lower(key), ' ') AS ws FROM ln), k AS (SELECT key, count(*) AS frequency FROM (SELECT array_to_string(ws[1:2], ' ') AS key FROM w) WHERE key <> '' GROUP BY key),
+    "strata_queue": f"""WITH {_LINES}, k AS (SELECT key, count(*) AS frequency FROM (SELECT lower(key) AS key FROM ln) WHERE key <> '' GROUP BY key),
 a AS (SELECT *, 'marked' AS stratum FROM k WHERE regexp_matches(key, '[^a-z ]') ORDER BY frequency DESC, key LIMIT 60),
 b AS (SELECT *, 'short' AS stratum FROM k WHERE length(key) <= 8 AND key NOT IN (SELECT key FROM a) ORDER BY frequency DESC, key LIMIT 50),
 c AS (SELECT *, 'frequent' AS stratum FROM k WHERE frequency >= 3 AND key NOT IN (SELECT key FROM a UNION ALL SELECT key FROM b) ORDER BY frequency DESC, key LIMIT 40),
