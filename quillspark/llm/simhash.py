@@ -11,14 +11,16 @@ fingerprints, so that keys stay longer than its logarithm and buckets stay small
 Within a sorted run of keys the fingerprints of 64 neighbours form a word per bit plane.
 A fingerprint is compared with all lanes of a word at once: plane by plane the differing
 lanes are added into carry-save bitwise counters, and a word is abandoned as soon as all
-its lanes exceed the radius.  A bucket of any size is searched in full, in pieces of a set
-number of words; in long ones what is reached is compared with what is not yet.
+its lanes exceed the radius.  A bucket of any size is searched in full; in long ones what
+is reached is compared with what is not yet.  One of more than BUCKET fingerprints is dealt
+into pieces, and each two pieces meet in a task of their own, so no task holds more than
+about two pieces whatever the bucket's size.
 
 Equal fingerprints are one node, so copies cost nothing here; the component of a node is
 found by star steps over the linked nodes only, and documents join their node's component.
 
 Defined cases: null or empty text has no shingles and fingerprint zero, which is linked
-like any other; repeated rows and equal texts share a component; null ids never become a
+like any other; a very long text is read whole; repeated rows and equal texts share a component; null ids never become a
 component's name unless no other id is in it; an empty table gives no rows.
 """
 
@@ -35,13 +37,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm._shared import written
+from quillspark.llm._shared import small, written
 from quillspark.llm.components import components
 
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
 LANES = 64
+#: Fingerprints of a bucket that one task searches; larger buckets are dealt into pieces.
+BUCKET = 1 << 17
 #: Longer runs are searched breadth first.
 LONG_RUN = 256
 EDGES = "a bigint, b bigint"
@@ -277,7 +281,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = [m - (1 << 64) if m >> 63 else m for m in keys_for(nodes.count(), radius)]
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("key_no", "mask"))
     keyed = keyed.select("fp", F.xxhash64("key_no", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    # a distinct sort column for the runs; only buckets of two or more can hold a link
+    keyed = dealt(keyed)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
     runs = runs.select("key", "fp")
@@ -290,6 +294,23 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return runs.mapInArrow(run, EDGES).distinct()
 
 
+def dealt(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (fp, key), where each two pieces of a bucket of more than BUCKET rows have a key of their own."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET)
+    hot = written(sizes.select(F.col("key").alias("hot_key"), F.ceil(F.col("n") / BUCKET).alias("pieces")), "hot_buckets")
+    if hot.isEmpty():
+        return keyed
+    rows = keyed.join(small(hot), F.col("key") == F.col("hot_key"), "left")
+    return rows.filter("hot_key is null").select("fp", "key").union(paired(rows.filter("hot_key is not null"), "fp").select("fp", "key"))
+
+
+def paired(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` (``value``, key, pieces of two or more) once for each two pieces of a key that the row's own is one of, under a key of these two."""
+    own = F.pmod(F.xxhash64(F.lit(3), value), F.col("pieces")).alias("own")
+    each = rows.select("*", own, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("other")).filter("own <> other")
+    return each.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+
+
 def edges(nodes: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     for x, y in found:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[x]), pa.array(nodes[y])], ["a", "b"])
@@ -307,13 +328,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_fp, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id")
 
 
-#: Of ``representatives``: words per shingle, 64-bit words per fingerprint, least similarity
-#: (shared among all shingles of two texts), and the share of pairs of just that similarity to be found.
-WIDE_SHINGLE, WIDE_WORDS, SIMILARITY, RECALL = 5, 4, 0.8, 0.95
+#: Of ``representatives``: words per shingle, 64-bit words per fingerprint, and the least
+#: similarity (shared among all shingles of two texts).
+WIDE_SHINGLE, WIDE_WORDS, SIMILARITY = 5, 4, 0.8
 #: Shingles are taken in rounds by their lowest byte, which end below these values.
 KEY_ROUNDS = (4, 32, 256)
 #: Candidates differ in at most so many standard deviations more bits than expected at SIMILARITY.
 DEVIATIONS = 6
+#: Bytes of shingles that one task compares; larger groups of candidates are dealt into pieces.
+GROUP_BYTES = 1 << 26
 #: Common shingles, which prefixes take last: counted in one of so many documents, those with a least count, at most so many.
 SAMPLED, COMMON_LEAST, COMMON_MOST = 32, 4, 200_000
 
@@ -324,15 +347,6 @@ def wide_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
     return round(64 * words * angle / math.pi)
 
 
-def wide_keys(n: int, similarity: float = SIMILARITY, words: int = WIDE_WORDS, recall: float = RECALL) -> np.ndarray:
-    """Bits of each key: enough per key for ``n`` fingerprints, and enough keys for the recall."""
-    bits = max(16, math.ceil(math.log2(max(n, 2))) + 2)
-    equal = (1 - wide_radius(similarity, words) / (64 * words)) ** bits
-    keys = math.ceil(math.log(1 - recall) / math.log(1 - equal))
-    rng = np.random.default_rng(SEED)
-    return np.stack([np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(keys)])
-
-
 def candidate_radius(similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> int:
     """Differing bits that candidates may have: texts of SIMILARITY have more in less than one of 10,000 cases."""
     expected = wide_radius(similarity, words) / (64 * words)
@@ -471,7 +485,11 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verified(candidates: DataFrame) -> DataFrame:
-    """node and label, one for what links of SIMILARITY or more connect, of ``candidates`` (root, node, text): links are looked for within a root."""
+    """node and label, one for what links of SIMILARITY or more connect, of ``candidates`` (root, node, text, pieces): links are looked for within a root.
+
+    A root of several pieces is searched two pieces at a time; what these connect is then
+    connected by star steps.
+    """
     spark = candidates.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -479,8 +497,8 @@ def verified(candidates: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                made = [shingle_set(t).tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["root", "node", "set"])
+                made = [shingle_set(t).tobytes() for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(made, pa.binary())], ["key", "node", "pieces", "set"])
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for root, (_, node, shingles) in runs_of(batches, 1 << 12):
@@ -489,8 +507,16 @@ def verified(candidates: DataFrame) -> DataFrame:
                 label = similar([np.frombuffer(s.as_buffer(), np.uint64) for s in shingles[a:b]])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b]), pa.array(nodes[a + label])], ["node", "label"])
 
-    made = candidates.select("root", "node", "text").mapInArrow(sets, "root bigint, node bigint, set binary")
-    return made.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(labelled, "node bigint, label bigint")
+    several = not candidates.filter("pieces > 1").isEmpty()
+    made = candidates.select(F.col("root").alias("key"), "node", "pieces", "text").mapInArrow(sets, "key bigint, node bigint, pieces bigint, set binary")
+    if several:
+        made = made.filter("pieces = 1").unionByName(paired(made.filter("pieces > 1"), "node").select("key", "node", "pieces", "set"))
+    found = made.select("key", "node", "set").repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(labelled, "node bigint, label bigint")
+    if not several:
+        return found
+    found = written(found, "wide_pieces")
+    roots = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")), "wide_pieces").select(F.col("node").alias("r_node"), "root")
+    return found.select("node").distinct().join(roots, F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("label"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -511,10 +537,13 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(wide_links(labels, low, high), f"wide-{k}")
         moved = labels.join(roots.select(F.col("node").alias("r_node"), "root"), F.col("label") == F.col("r_node"), "left")
         labels = written(moved.select("node", "fp", "prefix", F.coalesce("root", "label").alias("label")), f"wide_labels-{k}")
-    several = labels.groupBy(F.col("label").alias("root")).agg(F.count("*").alias("n")).filter("n > 1")
+    # a prefix has one in five of a text's shingles
+    amount = F.sum(F.octet_length("prefix") / (1 - SIMILARITY) + 8)
+    several = labels.groupBy(F.col("label").alias("root")).agg(F.count("*").alias("n"), F.ceil(amount / GROUP_BYTES).alias("pieces")).filter("n > 1").drop("n")
     leaders = nodes.select("node", "row").join(labels.select("node", F.col("label").alias("root")), "node").join(several, "root")
     texts = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("t_row"), F.col(text_col).alias("text"))
-    exact = verified(leaders.join(texts, F.col("row") == F.col("t_row")).select("root", "node", "text"))
+    leaders = written(leaders, "wide_leaders")
+    exact = verified(leaders.join(texts, F.col("row") == F.col("t_row")).select("root", "node", "text", "pieces"))
     # rows of one id and text give a node more than once, with one label
     exact = written(exact.groupBy(F.col("node").alias("v_node")).agg(F.min("label").alias("label")), "wide_groups")
     named = prints.select("doc_id", "row", "node").join(exact, F.col("node") == F.col("v_node"), "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))

@@ -45,9 +45,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     any name pass through.
     """
     name = fresh(docs, "__spans")
-    found = secrets.scan(docs, docs.columns, name=name)
-    clean = secrets.redacted(F.col("text"), F.col(name))
-    changed = {"text": clean, "n_chars": F.when(F.size(name) > 0, F.length(clean).cast("bigint")).otherwise(F.col("n_chars"))}
+    clean = fresh(docs, "__clean")
+    found = secrets.scan(docs, docs.columns, name=name).withColumn(clean, secrets.redacted(F.col("text"), F.col(name)))
+    changed = {"text": F.col(clean), "n_chars": F.when(F.size(name) > 0, F.length(clean).cast("bigint")).otherwise(F.col("n_chars"))}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 

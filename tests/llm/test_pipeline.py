@@ -2,6 +2,7 @@ import json
 import random
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -49,6 +50,19 @@ def test_every_stage_takes_effect(spark, tmp_path):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= ids
 
 
+def test_clashing_names_pass_through_every_stage(spark, tmp_path):
+    made(tmp_path, spark)
+    extra = ["c0", "c1", "key", "spans", "c_rules", "c_key", "found_key", "rules", "__text", "__spans", "__score", "model", "passages", "label", "fp", "row", "node", "root", "size", "place", "copies", "target", "cut", "__source", "ids", "decoded"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("*", *[F.col("doc_id").cast("string").alias(n) for n in extra])
+    for stage in (stages.drop_toxic, stages.keep_one_of_each_group, stages.redact_secrets, stages.mix_sources):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == str(r.doc_id) for r in rows for n in extra)
+    encoded = stages.encode(spark, docs, str(tmp_path))
+    assert encoded.columns == ["doc_id", "source", "n_tokens", "ids", "exact"] and encoded.filter("exact").count() == docs.count()
+
+
 def test_run_encodes_what_is_left(spark, tmp_path):
     made(tmp_path, spark)
     got = queries.queries()["pipeline"](spark, str(tmp_path)).collect()

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -112,7 +113,9 @@ def shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_representatives_equal_brute_force_around_the_threshold(spark):
+@pytest.mark.parametrize("group_bytes", [1 << 26, 2000])
+def test_representatives_equal_brute_force_around_the_threshold(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(simhash, "GROUP_BYTES", group_bytes)
     rnd = random.Random(21)
     words, rows = [f"w{k}" for k in range(3000)], []
     for g in range(250):
@@ -141,17 +144,6 @@ def test_similar_sets_equal_brute_force():
     assert simhash.similar(sets).tolist() == joined(len(sets), near)
 
 
-def test_wide_keys_find_the_share_they_promise():
-    rng = np.random.default_rng(0)
-    chosen, radius = simhash.wide_keys(10**5), simhash.wide_radius()
-    hits = 0
-    for _ in range(400):
-        differ = np.zeros(256, bool)
-        differ[rng.choice(256, radius, replace=False)] = True
-        hits += any(not differ[c].any() for c in chosen)
-    assert hits / 400 > 0.9
-
-
 def test_large_bucket_in_pieces(monkeypatch):
     monkeypatch.setattr(simhash, "AT_ONCE", 3)
     rng = np.random.default_rng(1)
@@ -179,7 +171,9 @@ def test_components_of_paths_stars_and_rings(spark):
     assert got == {x: min(g) for g in (path, star, ring, [8000, 8001]) for x in g}
 
 
-def test_query_equals_brute_force(spark, tmp_path):
+@pytest.mark.parametrize("bucket", [1 << 17, 3])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     rnd = random.Random(3)
     words = [f"w{k}" for k in range(300)]
     base = [" ".join(rnd.choices(words, k=rnd.choice([3, 60, 150, 400]))) for _ in range(40)]
@@ -189,7 +183,7 @@ def test_query_equals_brute_force(spark, tmp_path):
             w = t.split()
             w[rnd.randrange(len(w))] = "changed"
             texts.append(rnd.choice([t, " ".join(w), t.upper(), t + " tail"]))
-    texts += [None, "", " \n", "one", "ONE"] + ["same text for many rows"] * 30
+    texts += [None, "", " \n", "one", "ONE", "very long " * 30_000] + ["same text for many rows"] * 30
     rnd.shuffle(texts)
     rows = [(100 + k, t, "x") for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, fp string").write.parquet(f"{tmp_path}/documents.parquet")
