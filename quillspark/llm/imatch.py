@@ -133,17 +133,20 @@ def halved(copy: int):
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of copies that agree on their smallest lexicon in which either text has a term."""
-    pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
 
-    def agrees(copy: int) -> Column:
-        # of a copy's pairs, largest lexicon first, the last one that is not 0 on both sides
-        own = F.filter(F.slice(pairs, 2 + copy * LEVELS, LEVELS), lambda x: (x["a"] != 0) | (x["b"] != 0))
-        last = F.try_element_at(own, F.lit(-1))
-        return F.when(last.isNotNull(), (last["a"] == last["b"]).cast("int"))
+    def agrees(x: Column, y: Column, copy: int) -> Column:
+        # smallest lexicon first
+        at = range(copy * LEVELS + LEVELS, copy * LEVELS, -1)
+        return F.coalesce(*[F.when((x[k] != 0) | (y[k] != 0), (x[k] == y[k]).cast("int")) for k in at])
 
-    votes = F.array_compact(F.array(*[agrees(c) for c in range(COPIES)]))
-    share = F.try_divide(F.aggregate(votes, F.lit(0), lambda s, x: s + x).cast("double"), F.size(votes).cast("double"))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0)))
+    def share(x: Column, y: Column) -> Column:
+        votes = [agrees(x, y, c) for c in range(COPIES)]
+        number = reduce(Column.__add__, [v.isNotNull().cast("int") for v in votes])
+        same = reduce(Column.__add__, [F.coalesce(v, F.lit(0)) for v in votes])
+        return F.when(x == y, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(same.cast("double"), number.cast("double")), F.lit(0.0)))
+
+    # the variable of a lambda is evaluated once
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: share(s["a"], s["b"]))[0]
 
 
 def printed(found: Column) -> Column:
