@@ -5,6 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.hashing import hash60
+from quillspark.functions.normalize import plain_text
+from quillspark.functions.predicates import composable
+
+#: Fixed values of acronyms: words before a place name, words that name nothing by themselves, and short forms with a meaning of their own.
+ANCHORS = ("duong", "pho", "hem", "ngo", "truong", "benh", "vien", "dai", "hoc", "thpt", "thcs", "ubnd", "xa", "phuong", "quan", "huyen")
+GENERIC = ("duong", "pho", "phuong", "quan", "huyen", "xa", "thi", "tran", "thanh", "tinh", "thon", "to", "khu", "ap", "so", "hem", "ngo")
+RESERVED = (
+    "q", "p", "tp", "bv", "ubnd", "thpt", "thcs", "dh", "kcn", "cc", "ql", "tl", "h", "x", "d", "dg", "dt", "tx", "tt", "ct", "cty", "tnhh", "hdnd", "cd", "mn",
+    "kdt", "tttm", "bql", "hn", "hcm", "sg", "dn", "hp", "bd", "vt", "nt", "gv", "bt", "tb", "ad", "ltk", "nct", "hbt", "dbp", "pvh", "ntmk", "nvl",
+)
+
 
 def safe(query: Column, longest: int = 100) -> Column:
     """Short enough, and neither a phone number nor an address of electronic mail in it."""
@@ -108,3 +120,68 @@ def split_files(rows: DataFrame, split: str, path: str) -> None:
 def flat(rows: DataFrame, arrays: list[str], separator: str = "|") -> DataFrame:
     """Arrays joined to text, for a review sheet."""
     return rows.withColumns({a: F.array_join(a, separator) for a in arrays})
+
+
+def clean_queries(queries: DataFrame, key: str, words: str, lexicon: DataFrame) -> DataFrame:
+    """Keys of queries of which every word is in the lexicon (column ``term``) or has no letter.
+
+    Only distinct words meet the lexicon, so that a frequent word is looked up once; a query
+    without words is clean.
+    """
+    each = queries.select(key, F.explode(F.array_distinct(words)).alias("__w")).filter(F.col("__w").rlike(r"\p{L}"))
+    unknown = each.select("__w").distinct().join(lexicon.select(F.col("term").alias("__w")), "__w", "left_anti")
+    return queries.select(key).join(each.join(unknown, "__w").select(key).distinct(), key, "left_anti")
+
+
+def dominant(rows: DataFrame, key: str, label: str, order: str) -> DataFrame:
+    """key, label, n: the most frequent label of each key; of equally frequent ones the one that stands first, then the smaller."""
+    counts = rows.groupBy(key, label).agg(F.count("*").alias("n"), F.min(order).alias("__first"))
+    best = F.min_by(F.struct(label, "n"), F.struct(-F.col("n"), F.col("__first"), F.col(label)))
+    return counts.groupBy(key).agg(best.alias("__b")).select(key, f"__b.{label}", "__b.n")
+
+
+def composition_variants(targets: DataFrame, target: str, seed: str) -> DataFrame:
+    """The columns of ``targets`` with kind and input: four variants that pair lost marks with lost spaces.
+
+    Targets are 2 to 6 words of letters with at least one mark; the others give no row.  The
+    lost space is chosen by a hash of the target.
+    """
+    t = F.col(target)
+    rows = targets.filter(composable(t) & (plain_text(t) != t)).withColumn("__ws", F.split(t, " "))
+    rows = rows.withColumn("__at", (hash60(seed, t) % (F.size("__ws") - 1)).cast("int") + 1)
+    joined = F.concat_ws(" ", F.slice("__ws", F.lit(1), F.col("__at") - 1), F.concat(F.get("__ws", F.col("__at") - 1), F.get("__ws", F.col("__at"))), F.slice("__ws", F.col("__at") + 2, F.size("__ws")))
+    rows = rows.withColumn("__joined", joined)
+    made = {
+        "missing_diacritics_only": plain_text(t),
+        "boundary_one_only": F.col("__joined"),
+        "missing_diacritics_boundary_one": plain_text(F.col("__joined")),
+        "missing_diacritics_boundary_all": F.replace(plain_text(t), F.lit(" "), F.lit("")),
+    }
+    four = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("input")) for k, v in made.items()]))
+    return rows.select(*targets.columns, four.alias("__v")).select(*targets.columns, "__v.kind", "__v.input")
+
+
+def acronym_candidates(ws: Column, anchors: tuple[str, ...] = ANCHORS, generic: tuple[str, ...] = GENERIC, reserved: tuple[str, ...] = RESERVED) -> Column:
+    """array<struct<input, short>>: a text (its words) with a run of four or three words replaced by their initials.
+
+    The run is of letters, at least two of its words are not generic, one of the five words
+    before it is an anchor, and its initials are no reserved short form.  Words are compared
+    in lower case without marks.
+    """
+    fold = lambda w: plain_text(F.lower(w))
+    words = lambda values: F.array(*map(F.lit, values))
+
+    def runs(n: int) -> Column:
+        def made(i: Column) -> Column:
+            run = F.slice(ws, i, n)
+            short = F.array_join(F.transform(run, lambda w: F.substring(fold(w), 1, 1)), "")
+            before = F.transform(F.slice(ws, F.greatest(i - 5, F.lit(1)), i - F.greatest(i - 5, F.lit(1))), fold)
+            telling = F.size(F.filter(run, lambda w: ~F.array_contains(words(generic), fold(w)))) >= 2
+            ok = F.forall(run, lambda w: w.rlike(r"^\p{L}+$")) & telling & F.arrays_overlap(before, words(anchors)) & ~F.array_contains(words(reserved), short)
+            text = F.array_join(F.concat(F.slice(ws, F.lit(1), i - 1), F.array(short), F.slice(ws, i + n, F.size(ws))), " ")
+            return F.when(ok, F.struct(text.alias("input"), short.alias("short")))
+
+        starts = F.when(F.size(ws) > n, F.sequence(F.lit(2), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, made), lambda r: r.isNotNull())
+
+    return F.concat(runs(4), runs(3))

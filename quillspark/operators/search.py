@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import predicates
 from quillspark.functions.distance import limit_for, osa_distance, within_one
 from quillspark.operators.corpus import context_totals, delete_index
 
@@ -54,3 +55,16 @@ def error_triples(context: DataFrame, pairs: DataFrame, least_context: int = 10)
     ranked = met.withColumn("top", top).withColumn("ties", F.count_if(F.col("intended_count") == F.col("top")).over(place))
     winners = ranked.filter((F.col("intended_count") == F.col("top")) & (F.col("ties") == 1) & (F.col("top") > F.col("observed_count")))
     return winners.groupBy("intended", "observed").agg(F.sum("observed_count").alias("count"))
+
+
+def minable_pairs(pairs: DataFrame) -> DataFrame:
+    """Close pairs with ``excluded``: a term of the pair is blacklisted or not like a word."""
+    ok = predicates.minable(F.col("observed")) & predicates.minable(F.col("intended"))
+    return pairs.withColumn("excluded", ~ok)
+
+
+def mining_counters(judged: DataFrame, triples: DataFrame) -> DataFrame:
+    """One row: pairs looked at and excluded, triples and their occurrences."""
+    pairs = judged.agg(F.count_if(~F.col("excluded")).alias("close_pairs_scanned"), F.count_if("excluded").alias("blacklisted_pairs_excluded"))
+    found = triples.agg(F.count("*").alias("triples_emitted"), F.coalesce(F.sum("count"), F.lit(0)).alias("triple_occurrences"))
+    return pairs.join(found)
