@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import corpus, curation, evaluation, mining, pipelines, prepare, quality, ranking
+from quillspark.plans import builds, corpus, curation, evaluation, mining, pipelines, prepare, quality, ranking
 
 FLAGSHIP = "error_triples"
-MODULES = (corpus, prepare, quality, ranking, evaluation, curation, mining, pipelines)
+MODULES = (corpus, prepare, quality, ranking, evaluation, curation, mining, builds, pipelines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,6 +35,21 @@ def numbered(df: DataFrame, *order: Column, name: str = "id", start: int = 1) ->
     return ranged.join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn(name, F.col("__before") + F.col("__at") + start).drop("__m", "__part", "__at", "__p", "__before")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with running totals, ``sums`` from their names to the columns summed, in the given total order of distinct rows.
+
+    As ``numbered``: each range is summed by itself and shifted by the totals of the ranges before.
+    """
+    ranged = materialized(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("__part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(offsets), F.col("__part") == F.col("__p"))
+    out = out.withColumns({n: F.col(f"__{n}") + F.sum(c).over(within) for n, c in sums.items()})
+    return out.drop("__part", "__p", *[f"__{n}" for n in sums])
+
+
 def term_ids(vocab: DataFrame) -> DataFrame:
     """id, term, frequency: dense by falling count, then term; the special terms follow with frequency 0."""
     ranked = numbered(vocab, F.col("count").desc(), F.col("term").asc()).select("id", "term", F.col("count").alias("frequency"))

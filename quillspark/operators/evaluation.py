@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.corpus import running
+
 
 def ratio(part: Column, whole: Column) -> Column:
     """0 where there is nothing to divide by."""
@@ -121,12 +123,11 @@ def token_error_classes(rows: DataFrame) -> DataFrame:
 def best_f1_threshold(scored: DataFrame) -> DataFrame:
     """The threshold (a score, ties to the higher) with the best F1 of ``label`` by score >= threshold.
 
-    Scores are counted first; the running sums go over distinct scores.
+    Scores are counted first; the running sums go over ranges of distinct scores.
     """
     per = scored.groupBy("score").agg(F.count_if("label").alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    rows = per.select("score", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("found"), F.sum("pos").over(every).alias("positives"))
+    summed = running(per, [F.col("score").desc()], {"tp": "pos", "found": "n"})
+    rows = summed.join(F.broadcast(summed.agg(F.sum("pos").alias("positives"))))
     rows = rows.withColumn("f1", ratio(2 * F.col("tp"), F.col("found") + F.col("positives")))
     return rows.orderBy(F.col("f1").desc(), F.col("score").desc()).limit(1).select(F.col("score").alias("threshold"), "f1", "tp", "found", "positives")
 
@@ -161,12 +162,41 @@ def latency_summary(times: DataFrame, column: str, by: str) -> DataFrame:
 def nearest_rank(rows: DataFrame, column: str, by: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Quantiles at the nearest rank, halves to even: the value at round((n - 1) q).
 
-    Places come from a window over the group's sorted values and only the asked ones stay:
-    no group is collected into an array.
+    Equal values are counted first and the counts summed over ranges of all groups and values,
+    so a large group is divided among tasks.  Null values come first; a null group is a group.
+    """
+    counts = rows.groupBy(by, column).agg(F.count("*").alias("__c"))
+    summed = running(counts, [F.col(by).asc(), F.col(column).asc()], {"__upto": "__c"})
+    whole = summed.groupBy(F.col(by).alias("__by")).agg(F.min(F.col("__upto") - F.col("__c")).alias("__start"), F.sum("__c").alias("__n"))
+    placed = summed.join(whole, F.col(by).eqNullSafe(F.col("__by")))
+    first, behind = F.col("__upto") - F.col("__c") - F.col("__start"), F.col("__upto") - F.col("__start")
+
+    def at(q: float) -> Column:
+        wanted = F.bround((F.col("__n") - 1) * q)
+        return F.max(F.when((first <= wanted) & (wanted < behind), F.col(column)))
+
+    return placed.groupBy(by).agg(*[at(q).alias(f"q{round(q * 100)}") for q in shares])
+
+
+def retention_card(rows: DataFrame, names: tuple[str, ...], unknown: tuple[str, ...] = ("<unk>", " \u2047 ")) -> DataFrame:
+    """One row: percentages of exact outputs, mean character errors, outputs with an unknown token, and held-out names kept.
+
+    Of the ``names`` (a short, fixed list) the first that a target contains counts; 100 where no target has one.
     """
-    group = Window.partitionBy(by)
-    ranked = rows.select(by, column, (F.row_number().over(group.orderBy(column)) - 1).alias("at"), F.count("*").over(group).alias("n"))
-    return ranked.groupBy(by).agg(*[F.max(F.when(F.col("at") == F.bround((F.col("n") - 1) * q), F.col(column))).alias(f"q{round(q * 100)}") for q in shares])
+    target, out = F.col("expected"), F.col("output")
+    held = F.get(F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(target, n)), F.lit(0))
+    part = lambda hit, n: 100 * ratio(F.count_if(hit), n)
+    lost = F.lit(False)
+    for mark in unknown:
+        lost = lost | F.contains(out, F.lit(mark))
+    named = F.count(held)
+    return rows.agg(
+        F.count("*").alias("total"),
+        part(out == target, F.count("*")).alias("exact_match"),
+        (100 * F.coalesce(F.avg(F.levenshtein(target, out) / F.greatest(F.length(target), F.lit(1))), F.lit(0.0))).alias("cer"),
+        part(lost, F.count("*")).alias("unk_rate"),
+        F.when(named == 0, 100.0).otherwise(part(F.contains(out, held), named)).alias("brand_retention"),
+    )
 
 
 def gate(metrics: DataFrame, limits: DataFrame) -> DataFrame:
