@@ -102,7 +102,30 @@ def features(rankings: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumns({"gap_own": F.col("first_combined") - F.col("own_combined"), "gap_second": F.col("first_combined") - F.col("second_combined")})
 
 
-def decide(rows: DataFrame, spell: float, correct: float) -> DataFrame:
+#: What a decision looks at: the term itself, the first and second suggestion against it, its letters' case, and the sizes of what is around it.
+FEATURES = (
+    "own_error_score", "own_lm_score", "has_first", "first_error_delta", "first_lm_delta", "has_second", "second_error_delta", "second_lm_delta",
+    "all_lower", "all_upper", "title", "first_upper", "mixed", "case_match", "n_suggestions", "observed_length", "left_length", "right_length",
+)
+
+
+def confidence_features(rows: DataFrame) -> DataFrame:
+    """Rows of ``features`` with observed, left_length and right_length, and all of FEATURES as doubles; a suggestion that is not there gives zeros."""
+    from quillspark.functions.editing import case_signature
+
+    rows = rows.withColumns({"__case": case_signature("observed"), "__first_case": case_signature("suggestion")})
+    new = {}
+    for k in ("first", "second"):
+        new[f"has_{k}"] = F.col(f"{k}_error_score").isNotNull()
+        for score in ("error", "lm"):
+            new[f"{k}_{score}_delta"] = F.coalesce(F.col(f"{k}_{score}_score") - F.col(f"own_{score}_score"), F.lit(0.0))
+    new |= {name: F.get("__case", F.lit(i)) for i, name in enumerate(("all_lower", "all_upper", "title", "first_upper", "mixed"))}
+    new |= {"case_match": F.coalesce(F.col("__case") == F.col("__first_case"), F.lit(False)), "observed_length": F.length("observed")}
+    rows = rows.withColumns(new)
+    return rows.withColumns({c: F.col(c).cast("double") for c in FEATURES}).drop("__case", "__first_case")
+
+
+def decide(rows: DataFrame, spell: float | Column, correct: float | Column) -> DataFrame:
     """keep, flag or correct: by the blacklist, the probability of an error, whether there is a suggestion, and its probability."""
     action = (
         F.when(F.col("blacklisted"), "keep")

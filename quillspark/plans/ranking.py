@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import predicates, tokens as tk
+from quillspark.functions.hashing import hash60
 from quillspark.operators import channel, classifier, corpus, ranking, search
 from quillspark.plans import corpus as pc
 from quillspark.storage import materialized, table
@@ -88,7 +89,10 @@ def channel_parts(spark, sf_dir):
 
 
 def corrections(spark, sf_dir):
-    """The whole of it on mined misspellings and as many frequent right terms: learnt channel, rank, features, two classifiers, decision."""
+    """The whole of it on mined misspellings and as many frequent right terms: learnt channel, rank, features, three classifiers, decision.
+
+    The terms are taken without their contexts, so that the sizes of these are 0.
+    """
     vocab, triples = mined(spark, sf_dir)
     learnt = channel.fitted(triples)
     main = triples.groupBy("observed").agg(F.max_by("intended", F.struct("count", "intended")).alias("intended"))
@@ -99,12 +103,11 @@ def corrections(spark, sf_dir):
     scored = ranking.preselected(found, channel.channel_score(learnt, F.col("term"), F.col("observed")))
     scored = scored.withColumn("lm_score", F.ln(F.col("frequency") / total))
     rows = ranking.features(ranking.ranked(scored, ["observed"], F.lit(1.0)), ["observed"]).join(terms, "observed")
+    rows = ranking.confidence_features(rows.withColumns({"left_length": F.lit(0), "right_length": F.lit(0)}))
     rows = materialized(rows.withColumns({"misspelled": (F.col("observed") != F.col("intended")).cast("int"), "top_right": F.coalesce((F.col("suggestion") == F.col("intended")).cast("int"), F.lit(0))}), "features")
-    names = ["own_error_score", "own_lm_score", "first_error_score", "first_lm_score", "gap_own", "gap_second", "n_suggestions"]
-    spell = classifier.fit_logistic(rows, names, "misspelled", steps=8)
-    auto = classifier.fit_logistic(rows.filter("n_suggestions > 0"), names, "top_right", steps=8)
-    judged = rows.withColumns({"spell_probability": spell.probability(), "correct_probability": auto.probability(), "blacklisted": predicates.blacklisted(F.col("observed"))})
-    return ranking.decide(judged, 0.5, 0.5).select("observed", "intended", "suggestion", "action", "correction", F.round("spell_probability", 4).alias("spell_probability"), F.round("correct_probability", 4).alias("correct_probability"))
+    model = classifier.fit_confidence(rows, list(ranking.FEATURES), held=hash60("develop", F.col("observed")) % 5 == 0, steps=8)
+    judged = model.judged(rows).withColumn("blacklisted", predicates.blacklisted(F.col("observed")))
+    return ranking.decide(judged, F.col("spell_threshold"), F.col("correct_threshold")).select("observed", "intended", "suggestion", "action", "correction", F.round("spell_probability", 4).alias("spell_probability"), F.round("correct_probability", 4).alias("correct_probability"))
 
 
 QUERIES = [backoff_scores, bidirectional_scores, candidate_preselect, ranked_candidates, lambda_mrr, channel_parts, corrections]
