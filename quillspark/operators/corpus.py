@@ -13,6 +13,8 @@ from quillspark.functions.tokens import BOUNDARY, START, STOP
 from quillspark.storage import materialized
 
 SPECIALS = (START, STOP, "<unk>")
+#: Hashes that may be sent to all executors.
+MOST_HASHES = 2_000_000
 
 
 def vocabulary(sentences: DataFrame) -> DataFrame:
@@ -70,17 +72,37 @@ def ngrams(sentences: DataFrame, n: int, order: int, backward: bool = False) ->
     return row.filter(F.size("p") >= n).select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count"))
 
 
+def around(sentences: DataFrame) -> DataFrame:
+    """term, left, right of every token; a sentence's ends are the boundary sentinel."""
+    n = F.size("tokens")
+    left = F.concat(F.array(F.lit(BOUNDARY)), F.slice("tokens", F.lit(1), n - 1))
+    right = F.concat(F.slice("tokens", F.lit(2), n), F.array(F.lit(BOUNDARY)))
+    rows = sentences.filter(n > 0).select(F.arrays_zip(F.col("tokens").alias("term"), left.alias("left"), right.alias("right")).alias("c"))
+    return rows.select(F.inline("c"))
+
+
 def contexts(sentences: DataFrame) -> DataFrame:
     """term, left, right and count; a sentence's ends are the boundary sentinel."""
-    around = F.transform(
-        "tokens",
-        lambda t, i: F.struct(
-            t.alias("term"),
-            F.coalesce(F.when(i > 0, F.get("tokens", i - 1)), F.lit(BOUNDARY)).alias("left"),
-            F.coalesce(F.get("tokens", i + 1), F.lit(BOUNDARY)).alias("right"),
-        ),
-    )
-    return sentences.select(F.explode(around).alias("c")).select("c.*").groupBy("term", "left", "right").agg(F.count("*").alias("count"))
+    return around(sentences).groupBy("term", "left", "right").agg(F.count("*").alias("count"))
+
+
+def mined_contexts(sentences: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """Rows of ``contexts`` that can give error triples of ``pairs`` (intended, observed): those of every left and
+    right around ``least`` tokens or more, one of them an observed term, and few others.
+
+    Terms of no pair are one row of a context, with a null term, so that totals are whole.
+    Terms and contexts are looked up by their hashes, so that no word travels but those of
+    the rows returned; a hash that others share may leave other contexts in.
+    """
+    words = around(sentences).withColumn("__h", F.xxhash64("left", "right")).withColumn("__t", F.xxhash64("term"))
+    sides = F.explode(F.array(F.struct(F.col("observed").alias("term"), F.lit(True).alias("rare")), F.struct(F.col("intended").alias("term"), F.lit(False).alias("rare"))))
+    terms = materialized(pairs.select(sides.alias("s")).groupBy(F.xxhash64("s.term").alias("__t")).agg(F.max("s.rare").alias("rare")), "pair_terms")
+    terms = terms.hint("broadcast" if terms.count() <= MOST_HASHES else "merge")
+    counted = words.join(terms, "__t", "left").groupBy("__h").agg(F.count("*").alias("n"), F.max("rare").alias("rare"))
+    often = materialized(counted.filter((F.col("n") >= least) & F.col("rare")).select("__h"), "often")
+    often = often.hint("broadcast" if often.count() <= MOST_HASHES else "merge")
+    kept = words.join(often, "__h", "left_semi").join(terms, "__t", "left")
+    return kept.groupBy(F.when(F.col("rare").isNotNull(), F.col("term")).alias("term"), "left", "right").agg(F.count("*").alias("count"))
 
 
 def context_totals(context: DataFrame) -> DataFrame:
