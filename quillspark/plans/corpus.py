@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import tokens as tk
 from quillspark.operators import corpus, search
-from quillspark.storage import materialized, table
+from quillspark.storage import dropped, materialized, table
 
 ORDER = 3
 #: Terms of the deletion index occur at least so often.
@@ -93,11 +93,18 @@ def close_pairs(spark, sf_dir):
     return search.close_pairs(materialized(vocabulary(spark, sf_dir), "vocabulary"))
 
 
+def mining_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vocabulary, close pairs, and the contexts that can give an error triple, each written once; the texts are split once."""
+    rows = materialized(sentences(spark, sf_dir).select("tokens"), "sentences")
+    vocab = materialized(corpus.vocabulary(rows), "vocabulary")
+    pairs = materialized(search.close_pairs(vocab), "pairs")
+    context = materialized(corpus.mined_contexts(rows, pairs, search.LEAST_CONTEXT), "contexts")
+    dropped(rows)
+    return vocab, pairs, context
+
+
 def error_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    context = materialized(contexts(spark, sf_dir), "contexts")
-    # a term's contexts sum to its count: no second pass over the texts
-    vocab = context.groupBy("term").agg(F.sum("count").alias("count"))
-    pairs = materialized(search.close_pairs(materialized(vocab, "vocabulary")), "pairs")
+    _, pairs, context = mining_tables(spark, sf_dir)
     return search.error_triples(context, pairs)
 
 
