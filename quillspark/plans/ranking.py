@@ -56,9 +56,7 @@ def candidate_preselect(spark, sf_dir):
 
 def mined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vocabulary and error triples of the documents, written once."""
-    context = materialized(pc.contexts(spark, sf_dir), "contexts")
-    vocab = materialized(context.groupBy("term").agg(F.sum("count").alias("count")), "vocabulary")
-    pairs = materialized(search.close_pairs(vocab), "pairs")
+    vocab, pairs, context = pc.mining_tables(spark, sf_dir)
     return vocab, materialized(search.error_triples(context, pairs), "triples")
 
 
