@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.search import close_terms
+from quillspark.storage import materialized
 
 BACKOFF = 0.4
 UNSEEN = 1e-9
@@ -23,6 +24,48 @@ def counts_of(sentences: DataFrame, order: int, backward: bool = False) -> DataF
     return out
 
 
+def asked_grams(order: int) -> dict[str, Column]:
+    """Of a row with history and token: ``g{n}``, its n-gram, and ``h{n}``, the history of that; null where the history is shorter."""
+    out = {}
+    for n in range(1, order + 1):
+        history = F.when(F.size("history") >= n - 1, F.slice("history", F.size("history") - n + 2, n - 1) if n > 1 else F.array().cast("array<string>"))
+        out[f"g{n}"] = F.when(history.isNotNull(), F.array_join(F.concat(history, F.array("token")), " "))
+        out[f"h{n}"] = F.when(history.isNotNull(), F.array_join(history, " ")) if n > 1 else F.lit(None).cast("string")
+    return out
+
+
+#: N-grams that may be sent to all executors.
+MOST_GRAMS = 500_000
+
+
+def wanted_counts(sentences: DataFrame, wanted: DataFrame, order: int) -> tuple[DataFrame, int]:
+    """``ngram`` and count of the n-grams of ``wanted`` up to ``order``, in the order of the text and without padding,
+    and the number of unigrams, which counts the padding of models of ``order``.
+
+    One pass over the sentences; n-grams that nobody asks for are left out before they are counted.
+    """
+    wanted = materialized(wanted.filter(F.col("ngram").isNotNull()).union(sentences.sparkSession.range(1).select(F.lit(""))).distinct(), "wanted")
+    size = F.size("tokens")
+    ahead = [F.slice("tokens", F.lit(n + 1), size).alias(f"w{n}") for n in range(order)]
+    # the last array has one element: it is null in all rows of a sentence but the first
+    rows = sentences.filter(size > 0).select(F.inline(F.arrays_zip(*ahead, F.array((size + order).cast("bigint")).alias("padded"))))
+    grams, gram = [], F.col("w0")
+    for n in range(order):
+        gram = gram if n == 0 else F.concat(gram, F.lit(" "), F.col(f"w{n}"))
+        grams.append(F.struct(gram.alias("ngram"), F.lit(1).cast("bigint").alias("n")))
+    whole = F.struct(F.when(F.col("padded").isNotNull(), "").alias("ngram"), F.coalesce("padded", F.lit(0).cast("bigint")).alias("n"))
+    few = wanted.count() <= MOST_GRAMS
+    rows = rows.select(F.inline(F.array(*grams, whole))).join(wanted.hint("broadcast" if few else "merge"), "ngram", "left_semi")
+    counts = materialized(rows.groupBy("ngram").agg(F.sum("n").alias("count")), "ngrams")
+    total = counts.filter("ngram = ''").first()
+    return counts.filter("ngram <> ''"), total["count"] if total else 0
+
+
+def turned(grams: DataFrame) -> DataFrame:
+    """N-grams with their words from last to first."""
+    return grams.withColumn("ngram", F.array_join(F.reverse(F.split("ngram", " ")), " "))
+
+
 def backoff_scores(asked: DataFrame, counts: DataFrame, total: int, order: int) -> DataFrame:
     """``asked`` (key columns, history array, token) with ``score``, the log of Stupid Backoff.
 
@@ -30,11 +73,7 @@ def backoff_scores(asked: DataFrame, counts: DataFrame, total: int, order: int)
     BACKOFF.  Every order is one left join of the distinct keys, so the cost follows the
     different n-grams asked, not the places they are asked from.
     """
-    keyed = asked
-    for n in range(1, order + 1):
-        history = F.when(F.size("history") >= n - 1, F.slice("history", F.size("history") - n + 2, n - 1) if n > 1 else F.array().cast("array<string>"))
-        gram = F.when(history.isNotNull(), F.array_join(F.concat(history, F.array("token")), " "))
-        keyed = keyed.withColumn(f"__g{n}", gram).withColumn(f"__h{n}", F.when(history.isNotNull(), F.array_join(history, " ")) if n > 1 else F.lit(None).cast("string"))
+    keyed = asked.withColumns({f"__{name}": gram for name, gram in asked_grams(order).items()})
     out = keyed
     for n in range(1, order + 1):
         for part in ("g", "h") if n > 1 else ("g",):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +27,27 @@ def asked(spark: SparkSession, sf_dir: str, backward: bool = False) -> DataFrame
     return rows.select("item_id", "sentence_id", position.cast("bigint").alias("position"), "token", history.alias("history"))
 
 
-def lm_scores(spark: SparkSession, sf_dir: str, backward: bool) -> DataFrame:
-    sentences = pc.sentences(spark, sf_dir)
-    counts = materialized(ranking.counts_of(sentences, ORDER, backward), "ngrams")
-    total = counts.filter(~F.contains("ngram", F.lit(" "))).agg(F.sum("count")).first()[0] or 0
-    return ranking.backoff_scores(asked(spark, sf_dir, backward), counts, total, ORDER)
+def lm_scores(spark: SparkSession, sf_dir: str, *backward: bool) -> list[DataFrame]:
+    """Scores in each of the directions, from one count of the n-grams that any of them asks for.
+
+    Histories end at their sentence, so no padding is asked for, and an n-gram read backward
+    occurs as often as its words turned round.
+    """
+    rows = [materialized(asked(spark, sf_dir, b), "asked") for b in backward]
+    grams = [r.select(F.explode(F.array(*ranking.asked_grams(ORDER).values())).alias("ngram")) for r in rows]
+    wanted = reduce(DataFrame.union, [ranking.turned(g) if b else g for g, b in zip(grams, backward, strict=True)])
+    counts, total = ranking.wanted_counts(pc.sentences(spark, sf_dir), wanted, ORDER)
+    return [ranking.backoff_scores(r, ranking.turned(counts) if b else counts, total, ORDER) for r, b in zip(rows, backward, strict=True)]
 
 
 def backoff_scores(spark, sf_dir):
-    return lm_scores(spark, sf_dir, False).select("item_id", "sentence_id", "position", "token", F.round("score", 6).alias("score"))
+    (scores,) = lm_scores(spark, sf_dir, False)
+    return scores.select("item_id", "sentence_id", "position", "token", F.round("score", 6).alias("score"))
 
 
 def bidirectional_scores(spark, sf_dir):
-    forward = lm_scores(spark, sf_dir, False)
-    back = lm_scores(spark, sf_dir, True).select(F.col("item_id").alias("i"), F.col("sentence_id").alias("s"), F.col("position").alias("p"), F.col("score").alias("back"))
+    forward, back = lm_scores(spark, sf_dir, False, True)
+    back = back.select(F.col("item_id").alias("i"), F.col("sentence_id").alias("s"), F.col("position").alias("p"), F.col("score").alias("back"))
     both = forward.join(back, (F.col("item_id") == F.col("i")) & (F.col("sentence_id") == F.col("s")) & (F.col("position") == F.col("p")))
     return both.select("item_id", "sentence_id", "position", F.round(F.col("score") + F.col("back"), 6).alias("score"))
 
